@@ -16,6 +16,7 @@ from cashlens.functions.exprs import clip, count_if, flag, safe_div, slog
 from cashlens.functions.ranking import row_numbers
 from cashlens.operators import company_month as cm
 from cashlens.operators.star import dim_company, dim_product
+from cashlens.sources.staging import write_once
 from cashlens.sources.treasury import Treasury
 
 ORDER = W.partitionBy("company_id").orderBy("t_idx")
@@ -414,22 +415,29 @@ def with_definitions(df: DataFrame, layers: list[list[str]]) -> DataFrame:
 
 
 def peer_means(df: DataFrame, names: list[str]) -> DataFrame:
-    """Mean over same-key companies of the month without the own value. The key totals are
-    aggregated and joined back: a key that holds a third of the companies never sits in one task."""
-    for key in dict.fromkeys(PEERS[n][1] for n in names):
-        mine = [n for n in names if PEERS[n][1] == key]
-        aggs = []
-        for n in mine:
-            x = F.when(F.col("in_panel"), F.col(PEERS[n][0]))
-            aggs += [F.sum(x).alias(f"__s_{n}"), F.count(x).alias(f"__n_{n}")]
-        totals = df.groupBy(key, "t_idx").agg(*aggs)
-        df = df.join(totals, [key, "t_idx"], "left")
-        for n in mine:
-            x = F.when(F.col("in_panel"), F.col(PEERS[n][0]))
-            others = F.col(f"__n_{n}") - F.when(x.isNotNull(), 1).otherwise(0)
-            df = df.withColumn(n, F.when(others >= 1, (F.col(f"__s_{n}") - F.coalesce(x, F.lit(0.0))) / others))
-        df = df.drop(*[f"__{p}_{n}" for n in mine for p in "sn"])
-    return df
+    """Mean over same-key companies of the month without the own value, and active siblings. The
+    key totals are aggregated and joined back: a key that holds a third of the companies never
+    sits in one task."""
+    def own(n):
+        return F.when(F.col("in_panel"), F.col(PEERS[n][0]))
+
+    count_siblings = "n_siblings_active" in names
+    peers = [n for n in names if n in PEERS]
+    keys = dict.fromkeys([PEERS[n][1] for n in peers] + (["peer_group"] if count_siblings else []))
+    out = df
+    for key in keys:
+        aggs = [e for n in peers if PEERS[n][1] == key
+                for e in (F.sum(own(n)).alias(f"__s_{n}"), F.count(own(n)).alias(f"__n_{n}"))]
+        if key == "peer_group" and count_siblings:
+            aggs.append(F.sum(flag(F.col("in_panel"))).alias("__active"))
+        out = out.join(df.groupBy(key, "t_idx").agg(*aggs), [key, "t_idx"], "left")
+    new = {}
+    for n in peers:
+        others = F.col(f"__n_{n}") - F.when(own(n).isNotNull(), 1).otherwise(0)
+        new[n] = F.when(others >= 1, (F.col(f"__s_{n}") - F.coalesce(own(n), F.lit(0.0))) / others)
+    if count_siblings:
+        new["n_siblings_active"] = F.col("__active") - flag(F.col("in_panel"))
+    return out.select(*df.columns, *[c.alias(n) for n, c in new.items()])
 
 
 def size_cohort(df: DataFrame) -> DataFrame:
@@ -454,17 +462,19 @@ def panel(t: Treasury, names: list[str] | None = None, keep: list[str] = ()) ->
         extra.append("peer_group")
     if "size_cohort" in names:
         extra.append("size_outflow_12m")
-    inputs, layers = resolve(list(dict.fromkeys([*want, *extra, *keep])))
+    own = list(dict.fromkeys([*want, *extra, *keep]))
+    inputs, layers = resolve(own)
     df = with_definitions(dense(t, inputs), layers)
-    if peers:
-        df = peer_means(df, peers)
-    if "n_siblings_active" in names:
-        n = df.groupBy("peer_group", "t_idx").agg(F.sum(flag(F.col("in_panel"))).alias("__n"))
-        df = df.join(n, ["peer_group", "t_idx"]).withColumn("n_siblings_active", F.col("__n") - flag(F.col("in_panel")))
+    related = [n for n in names if n in PEERS or n == "n_siblings_active"]
+    if related or "size_cohort" in names:
+        # the steps below read the panel several times
+        df = write_once(df.select("company_id", "T", "t_idx", *own), "panel_own")
+    if related:
+        df = peer_means(df, related)
     df = df.where("in_panel")
     if "size_cohort" in names:
         df = size_cohort(df)
     defaults = {"country": "UNK", "currency": "UNK", "erp_any": "NONE", "main_bank": "NOBANK"}
-    df = df.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items() if c in names} or
-                        {"t_idx": F.col("t_idx")})
-    return df.select("company_id", "T", "t_idx", *dict.fromkeys([*names, *keep]))
+    return df.select("company_id", "T", "t_idx", *[
+        F.coalesce(c, F.lit(defaults[c])).alias(c) if c in defaults else F.col(c)
+        for c in dict.fromkeys([*names, *keep])])

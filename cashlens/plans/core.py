@@ -22,12 +22,18 @@ SPECS = {
     "cm_concentration": "company_id t_idx:i inflow_res:2 outflow_res:2 hhi_in:6 hhi_out:6 top1_in_share:6 "
                         "top1_out_share:6 n_cp_in:i n_cp_out:i n_cp_in_prev:i n_cp_in_lost:i cp_in_churn:6",
 }
+
+
+def _digits(feature: str) -> str:
+    return f"{feature}:8" if feature.startswith("credit_util") else f"{feature}:6"
+
+
 for _b in "ABCDEF":
-    SPECS[f"feat_{_b}"] = f"{KEY} T " + " ".join(f"{f}:6" for f in pn.BLOCKS[_b])
+    SPECS[f"feat_{_b}"] = f"{KEY} T " + " ".join(_digits(f) for f in pn.BLOCKS[_b])
 SPECS["feat_A"] += " country currency erp_any"
 SPECS["feat_E"] += " main_bank"
 SPECS["panel_assemble"] = f"{KEY} T size_cohort " + " ".join(
-    f"{f}:6" for f in pn.NUMERIC) + " country currency erp_any main_bank"
+    _digits(f) for f in pn.NUMERIC) + " country currency erp_any main_bank"
 
 for _name in ("cm_tx", "cm_cash", "cm_invoice_lag", "cm_invoice_issued", "cm_invoice_outcome", "cm_concentration"):
     query(_name)(lambda t, n=_name: shape(getattr(cm, n)(t), SPECS[n]))

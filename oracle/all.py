@@ -4,7 +4,7 @@ import importlib
 
 from oracle import compose
 
-MODULES = ["core"]
+MODULES = ["core", "scoring"]
 
 
 def all_sql() -> dict[str, str]:
