@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from cashlens.functions.exprs import clip, flag
 from cashlens.functions.ranking import quantiles
 from cashlens.operators import company_month as cm
-from cashlens.operators.panel import ORDER, dense
+from cashlens.operators.panel import dense, order
 from cashlens.sources.staging import staged, write_once
 from cashlens.sources.treasury import Treasury
 
@@ -42,7 +42,7 @@ def label_components(t: Treasury, gap: int | None = None, outcome: int | None =
     """Outcome-window components per eligible company-month (active lately, already in the panel)."""
     gap = t.cfg.gap_months if gap is None else gap
     outcome = t.cfg.outcome_months if outcome is None else outcome
-    after, before = ORDER.rowsBetween(gap + 1, gap + outcome), ORDER.rowsBetween(-5, 0)
+    after, before = order().rowsBetween(gap + 1, gap + outcome), order().rowsBetween(-5, 0)
     payable = cm.cm_invoice_outcome(t).where("is_payable").select("company_id", "t_idx", "n_classifiable", "n_bad")
     df = dense(t, ["n_tx", "inflow_oper", "outflow_oper", "cash_balance", "credit_drawn", "credit_granted"])
     df = df.join(payable, ["company_id", "t_idx"], "left")
@@ -57,7 +57,7 @@ def label_components(t: Treasury, gap: int | None = None, outcome: int | None =
         F.avg(util).over(after).alias("credit_util"),
         F.avg(flag(F.col("n_tx") == 0)).over(after).alias("inactivity"),
         F.avg("outflow_oper").over(before).alias("size_outflow_6m"),
-        F.sum("n_tx").over(ORDER.rowsBetween(-2, 0)).alias("recent"))
+        F.sum("n_tx").over(order().rowsBetween(-2, 0)).alias("recent"))
     # active in the last three months implies the first active month is not later than T
     return (out.where((F.col("t_idx") <= t.cfg.n_months - 1 - gap - outcome) & (F.col("recent") > 0))
             .select("company_id", "T", "t_idx",

@@ -19,14 +19,20 @@ from cashlens.operators.star import dim_company, dim_product
 from cashlens.sources.staging import write_once
 from cashlens.sources.treasury import Treasury
 
-ORDER = W.partitionBy("company_id").orderBy("t_idx")
+
+
+def order():
+    """Months of one company, in time order."""
+    return W.partitionBy("company_id").orderBy("t_idx")
+
+
 CATEGORICAL = ["country", "currency", "erp_any", "main_bank", "size_cohort"]
 
 
 # ---------------------------------------------------------------------------- window helpers
 def frame(k: int):
     """The current month and the k-1 before it."""
-    return ORDER.rowsBetween(1 - k, 0)
+    return order().rowsBetween(1 - k, 0)
 
 
 def roll(c: str, k: int, how: str = "sum") -> Column:
@@ -41,7 +47,7 @@ def roll_slope(c: str, k: int) -> Column:
 
 
 def delta(c: str, k: int) -> Column:
-    return F.col(c) - F.lag(c, k).over(ORDER)
+    return F.col(c) - F.lag(c, k).over(order())
 
 
 # ------------------------------------------------------------------------- definition registry
@@ -241,10 +247,10 @@ for _c, _n in (("n_no_counterparty", "no_counterparty"), ("n_no_accounting", "no
 _feature("F", "inv_issued_w3_log", S("n_inv_issued", 3), lambda: F.log1p(F.col(S("n_inv_issued", 3))))
 _div_feature("F", "inv_issued_ratio_w3_w12", M("n_inv_issued", 3), M("n_inv_issued", 12), 0, 5)
 define("issued_now", "n_inv_issued", lambda: flag(F.col("n_inv_issued") > 0))
-_feature("F", "has_invoices", "issued_now", lambda: F.max("issued_now").over(ORDER.rowsBetween(W.unboundedPreceding, 0)))
+_feature("F", "has_invoices", "issued_now", lambda: F.max("issued_now").over(order().rowsBetween(W.unboundedPreceding, 0)))
 _feature("F", "months_since_last_invoice", "n_inv_issued", lambda: clip(
     (F.col("t_idx") - F.last(F.when(F.col("n_inv_issued") > 0, F.col("t_idx")), ignorenulls=True)
-     .over(ORDER.rowsBetween(W.unboundedPreceding, 0))).cast("double"), hi=12))
+     .over(order().rowsBetween(W.unboundedPreceding, 0))).cast("double"), hi=12))
 _div_feature("F", "inv_stress_rate_w6", S("n_inv_stress_terms", 6), S("n_inv_issued", 6))
 _div_feature("F", "inv_no_cp_share_w6", S("n_inv_no_counterparty", 6), S("n_inv_issued", 6))
 _feature("F", "inv_n_counterparties_w3", "n_inv_counterparties", lambda: roll("n_inv_counterparties", 3, "mean"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["core", "scoring"]
+MODULES = ["core", "scoring", "serving"]
 
 
 def all_queries() -> dict:

@@ -4,7 +4,7 @@ import importlib
 
 from oracle import compose
 
-MODULES = ["core", "scoring"]
+MODULES = ["core", "scoring", "serving"]
 
 
 def all_sql() -> dict[str, str]:
