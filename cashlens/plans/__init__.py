@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["core", "scoring", "serving"]
+MODULES = ["core", "scoring", "serving", "projecting"]
 
 
 def all_queries() -> dict:

@@ -40,7 +40,7 @@ SPECS = {
     "portfolio_rows": PORT, "portfolio_filter": PORT, "portfolio_order": PORT, "watch_row": "company_id",
     "portfolio_history": "T solid:i healthy:i watch:i risk:i mean_health:4",
     "portfolio_counts": "healthy:i stable:i risk:i improving:i slipping:i held_out:i",
-    "score_distribution": "kind key n:i mean_score:6 n_high:i", "signal_counts": "what key n:i",
+    "score_distribution": "kind key n:i mean_score:10 n_high:i", "signal_counts": "what key n:i",
     "connector_counts": "what name n:i", "run_summary": "metric key n:i", "latest_month": "T",
     "company_filter": "company_id group_id score:6 band trajectory health_band country",
     "page_companies": "company_id score:6 health_smooth:6 health_delta_3m:6 total:i",

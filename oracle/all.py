@@ -4,7 +4,7 @@ import importlib
 
 from oracle import compose
 
-MODULES = ["core", "scoring", "serving"]
+MODULES = ["core", "scoring", "serving", "projecting"]
 
 
 def all_sql() -> dict[str, str]:

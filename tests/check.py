@@ -16,7 +16,7 @@ def session(cores: str = "8"):
     spark = (SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "16g")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     return spark
 
 
@@ -80,7 +80,7 @@ def main(sf: str, names: list[str]) -> int:
             else:
                 res = f"ok {df.toArrow().num_rows} rows (no SQL)"
         except Exception as e:                      # report and go on with the next query
-            res = f"ERROR {type(e).__name__}: {str(e)[:600]}"
+            res = f"ERROR {type(e).__name__}: {str(e)[:300]}"
         fails += not res.startswith("ok")
         print(f"{name:24s} {time.time() - t0:6.1f}s  {res}", flush=True)
     print("failures:", fails)
