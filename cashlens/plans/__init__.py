@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["core", "scoring", "serving", "projecting"]
+MODULES = ["core", "scoring", "serving", "projecting", "deciding"]
 
 
 def all_queries() -> dict:

@@ -28,7 +28,7 @@ SPECS = {
     "traj_pool": "n:i s_level:6 s_surprise:6 s_d1:6 s_d3:6", "j_knn": "company_id t_idx:i n:i sum_dist:4 max_dist:6 sum_rank_id:i",
     "knn_kernel": "company_id t_idx:i bw:6 max_weight:6 n_eff:4",
     "fan_quantiles": "company_id t_idx:i h:i low:5 median:5 high:5 n_companies:i prob_drop5:5 prob_risk:5",
-    "ols_fan": "company_id t_idx:i h:i low:5 median:5 high:5", "fan_backtest": "method by key n:i coverage:6 mae:5 width:5",
+    "ols_fan": "company_id t_idx:i h:i low:9 median:9 high:9", "fan_backtest": "method by key n:i coverage:6 mae:5 width:5",
     "forecast_row": "company_id month h:i low:4 median:4 high:4 stability note detected_at evident_at months_ahead:i",
     "fan_shift": "company_id h:i low:1 median:1 high:1",
 }

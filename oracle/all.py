@@ -4,7 +4,7 @@ import importlib
 
 from oracle import compose
 
-MODULES = ["core", "scoring", "serving", "projecting"]
+MODULES = ["core", "scoring", "serving", "projecting", "deciding"]
 
 
 def all_sql() -> dict[str, str]:
