@@ -141,3 +141,9 @@ def finite(x) -> Column:
 
 def rnd(x, digits: int) -> Column:
     return F.round(col(x), digits)
+
+
+def last_n(arr, n: int) -> Column:
+    """The last n elements, or all when there are fewer."""
+    arr = col(arr)
+    return F.slice(arr, F.greatest(F.size(arr) - n + 1, F.lit(1)), F.lit(n))

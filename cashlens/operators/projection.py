@@ -88,12 +88,12 @@ def line_fan(df: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """Baseline: least-squares line over the last six smoothed values and a widening band."""
     o = W.partitionBy("company_id").orderBy("t_idx")
     f = o.rowsBetween(-5, 0)
-    x, y = F.col("pos").cast("double"), F.col("health_smooth")
-    d = df.withColumn("pos", F.row_number().over(o))
+    x, y = F.col("pos").cast("double"), F.col("y")
+    d = df.withColumns({"pos": F.row_number().over(o), "y": F.round("health_smooth", 6)})
     n = F.regr_count(y, x).over(f)
     resid = F.sqrt(F.greatest(F.regr_syy(y, x).over(f) - F.coalesce(
         F.pow(F.regr_sxy(y, x).over(f), 2.0) / F.nullif(F.regr_sxx(y, x).over(f), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)) / n)
-    d = d.select("company_id", "T", "t_idx", "pos", y.alias("y"),
+    d = d.select("company_id", "T", "t_idx", "pos", "y",
                  F.coalesce(F.regr_slope(y, x).over(f), F.lit(0.0)).alias("slope"),
                  F.greatest(resid, F.lit(2.0)).alias("sigma"))
     h = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")

@@ -4,7 +4,7 @@ import importlib
 
 from oracle import compose
 
-MODULES = ["core", "scoring", "serving", "projecting", "deciding"]
+MODULES = ["core", "scoring", "serving", "projecting", "deciding", "basics"]
 
 
 def all_sql() -> dict[str, str]:

@@ -116,9 +116,9 @@ fan_ctes("fa_", "tg", "pl")
 cte("pl_train", "SELECT * FROM pl WHERE company_id NOT IN (SELECT company_id FROM label_rows WHERE is_reserved)")
 cte("pl_test", "SELECT * FROM pl WHERE company_id IN (SELECT company_id FROM label_rows WHERE is_reserved)")
 fan_ctes("fb_", "pl_test", "pl_train")
-cte("line0", """SELECT company_id, T, t_idx, health_smooth AS y, CASE WHEN regr_count(health_smooth, pos) OVER f >= 2 THEN regr_slope(health_smooth, pos) OVER f ELSE 0 END AS slope,
-    greatest(sqrt(greatest(regr_syy(health_smooth, pos) OVER f - coalesce(pow(regr_sxy(health_smooth, pos) OVER f, 2) / nullif(regr_sxx(health_smooth, pos) OVER f, 0), 0), 0) / regr_count(health_smooth, pos) OVER f), 2) AS sigma
-  FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY t_idx) AS pos FROM sc_scored)
+cte("line0", """SELECT company_id, T, t_idx, y, CASE WHEN regr_count(y, pos) OVER f >= 2 THEN regr_slope(y, pos) OVER f ELSE 0 END AS slope,
+    greatest(sqrt(greatest(regr_syy(y, pos) OVER f - coalesce(pow(regr_sxy(y, pos) OVER f, 2) / nullif(regr_sxx(y, pos) OVER f, 0), 0), 0) / regr_count(y, pos) OVER f), 2) AS sigma
+  FROM (SELECT *, round(health_smooth, 6) AS y, row_number() OVER (PARTITION BY company_id ORDER BY t_idx) AS pos FROM sc_scored)
   WINDOW f AS (PARTITION BY company_id ORDER BY t_idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""")
 cte("line", """SELECT *, greatest(0, median - 1.96::DOUBLE * sigma * sqrt(h)) AS low, least(100, median + 1.96::DOUBLE * sigma * sqrt(h)) AS high
   FROM (SELECT *, least(greatest(y + slope * h, 0), 100) AS median FROM line0, range(1, 7) r(h))""")
