@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["core", "scoring", "serving", "projecting", "deciding", "basics"]
+MODULES = ["core", "scoring", "serving", "projecting", "deciding", "basics", "modelling", "streams"]
 
 
 def all_queries() -> dict:

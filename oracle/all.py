@@ -4,7 +4,7 @@ import importlib
 
 from oracle import compose
 
-MODULES = ["core", "scoring", "serving", "projecting", "deciding", "basics"]
+MODULES = ["core", "scoring", "serving", "projecting", "deciding", "basics", "modelling", "streams"]
 
 
 def all_sql() -> dict[str, str]:
