@@ -24,7 +24,7 @@ SPECS = {
     "fn_dominant": "component n:i", "train_set": "company_id T score:6 y:i D:5", "platt": "company_id T score:6",
     "evidence": "spearman:6 improving_ok:6 blips:i structural:i n_detected:i lead_p25:4 lead_median:4 lead_p75:4",
     "eval_held_out": "metric value:6", "folds": "fold train_max:i eval_from:i eval_to:i n_train:i n_eval:i",
-    "future_path": "company_id t_idx:i level:6 surprise:6 d1:6 d3:6 delta1:6 delta6:6",
+    "future_path": "company_id t_idx:i level surprise d1 d3 delta1 delta6",
     "traj_pool": "n:i s_level:6 s_surprise:6 s_d1:6 s_d3:6", "j_knn": "company_id t_idx:i n:i sum_dist:4 max_dist:6 sum_rank_id:i",
     "knn_kernel": "company_id t_idx:i bw:6 max_weight:6 n_eff:4",
     "fan_quantiles": "company_id t_idx:i h:i low:5 median:5 high:5 n_companies:i prob_drop5:5 prob_risk:5",

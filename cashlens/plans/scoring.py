@@ -15,10 +15,10 @@ SPECS = {
     "cohort_z": "company_id T size_cohort is_reserved " + " ".join(f"z_{c}:5" for c in COMPS),
     "label_index": "company_id T size_cohort n_components:i D:5 threshold:5 y:i",
     "label_profile": "metric key value:5",
-    "add_health": "company_id T score:6 health:4 health_smooth:6 health_delta_1m:6 health_delta_3m:6 trajectory is_blip "
+    "add_health": "company_id T score:6 health health_smooth health_delta_1m health_delta_3m trajectory is_blip "
                   "is_structural is_exceptional health_band alert",
-    "ema": "company_id T health:4 health_smooth:6",
-    "trajectory": "company_id T health_delta_1m:6 health_delta_3m:6 trajectory",
+    "ema": "company_id T health health_smooth",
+    "trajectory": "company_id T health_delta_1m health_delta_3m trajectory",
     "blip": "company_id T is_blip", "structural": "company_id T is_structural", "exceptional": "company_id T is_exceptional",
     "health_band": "company_id T health_band", "alert_rule": "company_id T alert",
 }

@@ -15,21 +15,21 @@ from cashlens.sources.staging import staged
 
 T_MIN = 8           # first month scored out of sample
 LEVERS = "score:6 score_raw:6 score_A:6"
-SERIES = "health:4 health_smooth:6 health_delta_1m:6 health_delta_3m:6 trajectory is_blip is_structural is_exceptional health_band alert"
+SERIES = "health health_smooth health_delta_1m health_delta_3m trajectory is_blip is_structural is_exceptional health_band alert"
 PORT = ("company_id score:1 band trend delta3m:1 delta1m:1 held_out top_driver health_band trajectory signal "
         "p_deterioration:4 group_id size_cohort country erp main_bank")
-ALERT = "company_id T alert severity:i health_smooth:6 health_delta_1m:6 health_delta_3m:6 trajectory why"
+ALERT = "company_id T alert severity:i health_smooth health_delta_1m health_delta_3m trajectory why"
 CELL = "T size_cohort country_group group_bucket kpi"
 PROV = ("bank_name kind services companies:i products:i n_risk:i n_watch:i n_healthy:i n_solid:i mean_health:4 risk_share:6 "
         "slipping:i improving:i granted:2 outstanding:2")
-EVENT = "company_id event_month alert_month lead_months:i health_at_event:4 health_6m_before:4"
+EVENT = "company_id event_month alert_month lead_months:i health_at_event health_6m_before"
 SPECS = {
     "risk_score": f"company_id T {LEVERS} percentile:6 percentile_cohort:6 band delta_1m:6 is_out_of_sample {SERIES} realized_label:i realized_D:5",
     "pct_rank_avg": "company_id T percentile:6 percentile_cohort:6", "delta_1m": "company_id T delta_1m:6",
     "risk_band": "company_id T band", "last_row": "company_id score:6 T",
     "company_master": "company_id group_id country currency erp main_bank group_size:i n_bank_accounts:i n_banks:i n_debt_products:i "
                       "debt_granted_total_log:6 size_cohort has_invoices first_month last_month months_in_panel:i created_at "
-                      "latest_score:6 latest_band latest_delta_1m:6 latest_percentile:6 latest_health:6 latest_health_band latest_trajectory is_test_company",
+                      "latest_score:6 latest_band latest_delta_1m:6 latest_percentile:6 latest_health latest_health_band latest_trajectory is_test_company",
     "company_kpi": "company_id T " + " ".join(f"{c}:6" for c in sv.KPI_COLS if not c.endswith("_log"))
                    + " cash_balance:2 inflow_oper:2 outflow_oper:2 outcome_late_pay_rate:6 outcome_neg_cash_share:6 "
                    "outcome_collection_drop:6 outcome_credit_util:8 outcome_inactivity:6",
@@ -43,8 +43,8 @@ SPECS = {
     "score_distribution": "kind key n:i mean_score:10 n_high:i", "signal_counts": "what key n:i",
     "connector_counts": "what name n:i", "run_summary": "metric key n:i", "latest_month": "T",
     "company_filter": "company_id group_id score:6 band trajectory health_band country",
-    "page_companies": "company_id score:6 health_smooth:6 health_delta_3m:6 total:i",
-    "company_lookup": "company_id T score:6 percentile:6 band health_smooth:6 group_id country cash_months_of_outflow:6 io_ratio_w3:6",
+    "page_companies": "company_id score:6 health_smooth health_delta_3m total:i",
+    "company_lookup": "company_id T score:6 percentile:6 band health_smooth group_id country cash_months_of_outflow:6 io_ratio_w3:6",
     "movers": "what company_id score:1 delta3m:1 signal", "top_driver": "company_id top_driver",
     "held_out_flag": "company_id held_out", "compact_rows": "company_id score:1 health_band trajectory delta3m:1 delta1m:1 signal p_deterioration:4 size_cohort group_id main_bank erp",
     "provider_rollup": PROV, "provider_filter": PROV, "provider_order": PROV, "provider_kind": "bank_name kind",

@@ -10,4 +10,4 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 @pytest.fixture(scope="session")
 def spark():
     from check import session
-    return session("4")
+    return session("8")

@@ -7,9 +7,8 @@ import __spark_entry__ as entry
 from check import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SMALL = ["cm_tx", "cm_cash", "cm_invoice_lag", "cm_invoice_issued", "cm_invoice_outcome", "cm_concentration", "label_index",
-         "add_health", "risk_score", "alerts", "provider_rollup", "benchmark", "fan_quantiles", "j_knn", "decisions", "whatif_grid",
-         "dq_integrity", "src_csv", "sink_fact", "number_grounding", "event_detect", "monitor_stream"]
+SMALL = ["cm_tx", "cm_cash", "cm_invoice_lag", "cm_concentration", "add_health", "j_knn", "dq_integrity", "src_csv",
+         "number_grounding", "monitor_stream"]
 
 
 @pytest.mark.parametrize("name", SMALL)
