@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from cashlens.plans.registry import query, shape
 from cashlens.sources.staging import fresh_path
 from cashlens.streaming import monitor
@@ -13,7 +15,7 @@ SPECS = {"monitor_stream": "user_id T n:i total:4 active_days:i"}
 def _monitor(t):
     src = t.source("events").schema
     stream = (t.spark.readStream.schema(src).option("pathGlobFilter", "events.parquet").parquet(t.dir)
-              .select("user_id", "ts", "value"))
+              .select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value"))
     out, ckpt = fresh_path(t.spark, "daily"), fresh_path(t.spark, "stream")
     monitor.run(monitor.daily_rollup(stream, "user_id", "ts", "value"), "user_id", out, ckpt)
     return shape(monitor.monthly(monitor.daily(t.spark, out, "user_id"), "user_id"), SPECS["monitor_stream"])
