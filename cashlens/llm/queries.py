@@ -31,3 +31,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cashlens.llm.packing import pack
     p = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op5_byte_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from cashlens.llm.byte_bpe import decode, encode
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    e = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_le", 256).alias("ids_sha256"),
+                    F.sha2(decode(F.col("ids"), path), 256).alias("decoded_sha256"))
