@@ -42,3 +42,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     return e.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_le", 256).alias("ids_sha256"),
                     F.sha2(decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+
+
+@query("op9_knn_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cashlens.llm.common import held_out
+    from cashlens.llm.knn_quality import score
+    s = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return s.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "score",
+                    F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
