@@ -51,3 +51,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return s.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "score",
                     F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@query("op1_toxicity_chain")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cashlens.llm.common import held_out
+    from cashlens.llm.toxicity import score
+    return (score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+            .withColumn("held_out", held_out(F.col("doc_id"), 4)))
