@@ -59,3 +59,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cashlens.llm.toxicity import score
     return (score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
             .withColumn("held_out", held_out(F.col("doc_id"), 4)))
+
+
+@query("op7_robust_outliers")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cashlens.llm.outliers import outliers
+    return outliers(table(spark, sf_dir, "documents")).drop("lang", "source")
