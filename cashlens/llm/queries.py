@@ -65,3 +65,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cashlens.llm.outliers import outliers
     return outliers(table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
+@query("op4_kneser_ney_langid")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cashlens.llm.common import held_out
+    from cashlens.llm.langid import identify
+    r = identify(table(spark, sf_dir, "documents"))
+    return r.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
