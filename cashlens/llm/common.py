@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 from typing import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -93,3 +94,51 @@ def with_components(nodes: DataFrame, key: str, comp: DataFrame, out: str) -> Da
     """``nodes`` with the component of ``key``; a node without links is its own component."""
     return (nodes.join(comp.withColumnRenamed("node", key), key, "left")
             .withColumn(out, F.coalesce(F.col("component"), F.col(key))).drop("component"))
+
+
+def grouped(df: DataFrame, keys: list[str], order: list[str], fn, schema: str, partitions: int | None = None) -> DataFrame:
+    """Run ``fn(group: pa.Table)`` → record batches on every group of ``keys``, many small groups to a task.
+
+    Rows are dealt by the keys and sorted inside partitions; a task streams through them and holds one group at a time.
+    ``fn`` must allow for every group fitting a task: callers split their groups by size beforehand.
+    """
+    dealt = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            if held is not None:
+                t = pa.concat_tables([held, t])
+            n = t.num_rows
+            new = np.zeros(n, bool)
+            for k in keys:
+                c = t[k].combine_chunks().to_numpy(zero_copy_only=False)
+                new[1:] |= c[1:] != c[:-1]
+            cuts = np.flatnonzero(new)
+            start = 0
+            for c in cuts:
+                yield from fn(t.slice(start, c - start))
+                start = c
+            held = t.slice(start)
+        if held is not None and held.num_rows:
+            yield from fn(held)
+
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def id_filter(ids: DataFrame, key: str, bits: int = 1 << 25):
+    """Broadcast bitmap of hashed ids, 4 MB whatever their number: rows it refuses need no shuffle; an equi-join decides the rest."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    rows = (ids.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("b"))
+            .agg(F.bitmap_construct_agg((F.col("p") % 32768)).alias("m")).collect())           # bits / 32768 rows of 4 KB
+    flags = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        flags[r["b"] * 4096:(r["b"] + 1) * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(flags)
+
+    def test(places: np.ndarray) -> np.ndarray:
+        return (shared.value[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
+    return place, test

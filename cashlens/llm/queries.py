@@ -73,3 +73,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cashlens.llm.langid import identify
     r = identify(table(spark, sf_dir, "documents"))
     return r.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+@query("op8_signature_tree_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cashlens.llm.sigtree import jaccard_join
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
