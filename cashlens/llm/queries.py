@@ -79,3 +79,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cashlens.llm.sigtree import jaccard_join
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op10_collinear_chains")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cashlens.llm.chaining import passages
+    return passages(table(spark, sf_dir, "documents"))
