@@ -85,3 +85,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cashlens.llm.chaining import passages
     return passages(table(spark, sf_dir, "documents"))
+
+
+@query("op6_e8_lattice")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cashlens.llm.lattice import near_vectors
+    return (near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+            .withColumn("kept", F.col("vec_id") == F.col("component_id")))
