@@ -92,3 +92,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cashlens.llm.lattice import near_vectors
     return (near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
             .withColumn("kept", F.col("vec_id") == F.col("component_id")))
+
+
+@query("op2_elias_fano_lm")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cashlens.llm.common import held_out
+    from cashlens.llm.lm_trie import score
+    s = score(table(spark, sf_dir, "documents"))
+    return s.select("doc_id", held_out(F.col("doc_id"), 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "oov_share")
