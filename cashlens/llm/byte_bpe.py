@@ -25,9 +25,9 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cashlens.llm.common import per_batch, shared_folder, stage
-from cashlens.llm.hashfile import file_column, files_for, find, hash_words, save
+from cashlens.llm.hashfile import file_column, files_for, find, hash_pairs, save
 
-BUCKETS, NO_RANK = 16384, 2**31 - 1
+BUCKETS, NO_RANK = 65536, 2**31 - 1
 #: White space as Unicode's property has it, which is what ``\s`` means to the tokenizer.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -43,6 +43,24 @@ def splitter(pattern: str):
     return regex.compile(p).findall
 
 
+def chunker(pattern: str):
+    """Cuts a text before blanks into chunks that the pattern splits each for itself as it would the whole text.
+
+    A match never runs over a blank except in a run of white space, so a text with white space on both sides of a
+    blank (or before a last one) stays whole.
+    """
+    across = regex.compile(f"[{SPACE}] (?=[{SPACE}]|$)").search
+
+    def cut(text: str) -> list[str]:
+        if not text:
+            return []
+        if across(text):
+            return [text]
+        head, *rest = text.split(" ")
+        return ([head] if head else []) + [" " + c for c in rest]
+    return cut
+
+
 def let(value: Column, fn) -> Column:
     """``fn(value)`` with ``value`` computed once."""
     return F.get(F.transform(F.array(value), fn), F.lit(0))
@@ -89,7 +107,7 @@ def fold_merges(word: Column, ranks: Column) -> Column:
         bytes_ = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(h, i * 2 - 1, F.lit(2)))
         pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(h, i * 2 - 1, F.lit(4)))))
         start = F.struct(bytes_.alias("parts"), F.coalesce(pairs, F.array().cast("array<int>")).alias("pairs"))
-        ids = F.aggregate(F.sequence(F.lit(1), n), start, step)["parts"]
+        ids = F.aggregate(F.slice(F.sequence(F.lit(1), n), F.lit(2), n), start, step)["parts"]
         return let(rank(h), lambda r: F.when(r != NO_RANK, F.array(r)).otherwise(F.transform(ids, rank)))
 
     return let(F.hex(word), folded)
@@ -120,9 +138,11 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def encoded_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, long_word: int) -> tuple[str, int]:
     """Folder and number of sorted hash files with the ids of every distinct word of the texts."""
     def distinct(batch: pa.RecordBatch):
-        split, words = splitter(pattern), set()
+        cut, split, words, seen = chunker(pattern), splitter(pattern), set(), set()
         for t in batch.column(0).to_pylist():
-            words.update(split(t or ""))
+            seen.update(cut(t or ""))
+        for c in seen:
+            words.update(split(c))
         words = [w for w in words if len(w) * 4 <= long_word or len(w.encode()) <= long_word]
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
 
@@ -131,24 +151,22 @@ def encoded_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, long_w
     folder, files = shared_folder(docs.sparkSession, "bpe"), files_for(words.count())
 
     def hashed(batch: pa.RecordBatch):
-        h = hash_words([w.encode() for w in batch.column(0).to_pylist()]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0), batch.column(1)], names=["h", "word", "ids"])
+        h, check = hash_pairs(batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(check.view(np.int64)), batch.column(1)],
+                                         names=["h", "check", "ids"])
 
     def write(key, rows):
         h = rows["h"].to_numpy().view(np.uint64)
         order = np.argsort(h, kind="stable")
-        rows = rows.take(pa.array(order))
-        words = [w.encode() for w in rows["word"].to_pylist()]
-        ids = rows["ids"].combine_chunks()
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ids = rows["ids"].take(pa.array(order)).combine_chunks()
         save(folder, f"part-{key[0].as_py():06d}", {
-            "hash": h[order], "word_at": np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint32),
-            "words": np.frombuffer(b"".join(words), np.uint8), "ids_at": (ids.offsets.to_numpy() - ids.offsets[0].as_py()).astype(np.uint32),
-            "ids": ids.flatten().to_numpy().astype(np.uint32)})
-        return pa.table({"part": [key[0].as_py()], "rows": [len(words)]})
+            "hash": h[order], "check": rows["check"].to_numpy().view(np.uint64)[order],
+            "ids_at": (ids.offsets.to_numpy() - ids.offsets[0].as_py()).astype(np.uint32),
+            "ids": ids.flatten().to_numpy().astype("<u4")})
+        return pa.table({"part": [key[0].as_py()], "rows": [len(h)]})
 
-    (per_batch(words, ["word", "ids"], hashed, "h bigint, word string, ids array<int>")
-     .withColumn("part", file_column(F.col("h"), files)).groupBy("part")
+    (per_batch(words, ["word", "ids"], hashed, "h bigint, check bigint, ids array<int>")
+     .withColumn("part", file_column(F.col("h"), files).cast("long")).groupBy("part")
      .applyInArrow(write, "part bigint, rows bigint").agg(F.sum("rows")).first())
     return folder, files
 
@@ -160,35 +178,39 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, long_word: int = 64,
     """Every text's ids: doc_id, ids (array<int>), ids_le (the same, packed little-endian 32-bit).
 
     A null or empty text has no id; a null doc_id stays null; repeated rows and ties are encoded alike; an empty table
-    gives no row. Other columns are ignored. ``room`` bounds a worker's memo of words.
+    gives no row. Other columns are ignored. ``room`` bounds a worker's memo of chunks of text.
     """
     ranks = read_ranks(ranks_path)
     folder, files = encoded_words(docs, ranks, pattern, long_word)
     table = docs.sparkSession.sparkContext.broadcast(ranks)            # the fixed vocabulary, for long words
 
     def learn(memo: dict[str, bytes], new: list[str]) -> None:
-        raw = [w.encode() for w in new]
-        for at, row, f in find(folder, files, hash_words(raw), []):
-            wa, wb, ia, ib = (f[k][row + d].tolist() for k in ("word_at", "ids_at") for d in (0, 1))
-            words, ids = f["words"], f["ids"]
-            for i, a, b, c, d in zip(at.tolist(), wa, wb, ia, ib):
-                if words[a:b].tobytes() == raw[i]:
-                    memo[new[i]] = ids[c:d].tobytes()
-        for w, b in zip(new, raw):                                     # long words, and two words of one hash
+        """Fill the empty ``memo`` with the ids of the words ``new``."""
+        h, check = hash_pairs(new)
+        for at, row, f in find(folder, files, h):
+            same = f["check"][row] == check[at]
+            at, row = at[same], row[same]
+            ids = f["ids"].tobytes() if len(row) * 8 > len(f["hash"]) else memoryview(f["ids"].view(np.uint8))
+            for i, a, b in zip(at.tolist(), (4 * f["ids_at"][row].astype(np.int64)).tolist(), (4 * f["ids_at"][row + 1].astype(np.int64)).tolist()):
+                memo[new[i]] = bytes(ids[a:b])
+        for w in new if len(memo) < len(new) else ():                  # long words, and two words of one hash
             if w not in memo:
+                b = w.encode()
                 memo[w] = np.asarray([table.value[b]] if b in table.value else heap_merges(b, table.value), "<u4").tobytes()
 
     def join(batch: pa.RecordBatch):
-        split, memo = splitter(pattern), _MEMO.setdefault(folder, {})
+        cut, split, memo = chunker(pattern), splitter(pattern), _MEMO.setdefault(folder, {})
         keys, texts = batch.column(0), batch.column(1).to_pylist()
         for lo in range(0, len(texts), 400):
-            cut = [split(t or "") for t in texts[lo:lo + 400]]
+            chunks = [cut(t or "") for t in texts[lo:lo + 400]]
             if len(memo) > room:
                 memo.clear()
-            if new := list(set().union(*cut).difference(memo)):
-                learn(memo, new)
+            if new := [(c, split(c)) for c in set().union(*chunks).difference(memo)]:
+                words: dict[str, bytes] = {}
+                learn(words, list({w for _, ws in new for w in ws}))
+                memo.update((c, words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])) for c, ws in new)
             get = memo.__getitem__
-            out = [b"".join(map(get, w)) for w in cut]
+            out = [b"".join(map(get, c)) for c in chunks]
             sizes = np.fromiter(map(len, out), np.int64, len(out)) // 4
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
                                            pa.array(np.frombuffer(b"".join(out), "<u4").astype(np.int32)))

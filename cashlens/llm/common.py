@@ -9,7 +9,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cashlens.sources.staging import fresh_path, write_once
 
@@ -52,7 +52,7 @@ def held_out(key: Column, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds)) == 2, F.lit(False))
 
 
-def per_batch(df: DataFrame, columns: list, fn, schema: str) -> DataFrame:
+def per_batch(df: DataFrame, columns: list, fn, schema) -> DataFrame:
     """``mapInArrow`` over the named columns only. ``fn``: a record batch → any number of record batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -61,6 +61,24 @@ def per_batch(df: DataFrame, columns: list, fn, schema: str) -> DataFrame:
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def with_scores(docs: DataFrame, fn, names: list[str], types: str, carry: bool) -> DataFrame:
+    """Append what ``fn(texts)`` gives for the text column: arrays in the order of ``names``, of Spark ``types``.
+
+    With ``carry`` every column of ``docs`` goes along unchanged (no join by key afterwards, so null and repeated keys
+    are safe); otherwise doc_id alone. ``names`` must not be names of carried columns.
+    """
+    docs = docs if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = docs.columns if carry else ["doc_id"]
+    if taken := set(out) & set(names):
+        raise ValueError(f"columns {sorted(taken)} exist already")
+    schema = T.StructType([docs.schema[c] for c in out] + T._parse_datatype_string(types).fields)
+
+    def run(batch: pa.RecordBatch):
+        got = fn([t or "" for t in batch.column("text").to_pylist()])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), *map(pa.array, got)], names=[*out, *names])
+    return per_batch(docs, docs.columns, run, schema)
+
+
 def components(spark: SparkSession, links: DataFrame, name: str) -> DataFrame:
     """Connected components of ``links`` (a, b long; a != b) as (node, component = smallest node).
 

@@ -31,6 +31,12 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
+def hash_pairs(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each word, as the 64 that order a file and 64 that confirm a match."""
+    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in words]), ">u8").astype(np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def file_number(hashes: np.ndarray, files: int) -> np.ndarray:
     bits = files.bit_length() - 1
     return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
@@ -104,7 +110,7 @@ def opened(folder: str, name: str, keep: int = 4096) -> dict[str, np.ndarray] |
     return _OPEN[key]
 
 
-def find(folder: str, files: int, hashes: np.ndarray, columns: list[str]):
+def find(folder: str, files: int, hashes: np.ndarray):
     """For every file that ``hashes`` touch: (places in ``hashes``, rows in the file, its arrays), found ones only."""
     order = np.argsort(hashes, kind="stable")
     number = file_number(hashes[order], files)

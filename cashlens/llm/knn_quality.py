@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cashlens.llm.common import held_out, per_batch
+from cashlens.llm.common import held_out, per_batch, with_scores
 
 CLASSES, EXTRA = 64, 8
 TERMS = CLASSES * CLASSES + EXTRA
@@ -114,8 +114,8 @@ def vote(z: np.ndarray, model: dict, k: int, power: float) -> np.ndarray:
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = 1500, dims: int = 48, k: int = 15, power: float = 8.0,
-          block: int = 256) -> DataFrame:
-    """Every document's chance of label 1: doc_id, score.
+          block: int = 256, name: str = "score", carry: bool = False) -> DataFrame:
+    """Every document's chance of label 1: doc_id, score (or all columns of ``docs`` and the score under ``name``).
 
     Learns from labelled rows whose key is not held out. A null or empty text has the zero vector, whose similarity to
     all is equal, and gets the share of label 1 among labelled rows. If labels hold one class or none, every score is
@@ -124,15 +124,14 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = 1500, dims: int =
     model = fit(docs, labels, per_class, dims)
     shared = docs.sparkSession.sparkContext.broadcast(model)           # bounded by per_class x dims
 
-    def run(batch: pa.RecordBatch):
-        keys, texts, m = batch.column(0), [t or "" for t in batch.column(1).to_pylist()], shared.value
-        out = np.full(len(texts), 0.5)
+    def run(texts: list[str]):
+        m, out = shared.value, np.full(len(texts), 0.5)
         if m is not None:
             prior = float(m["weight"][1] * (m["y"] == 1).sum() / sum(m["weight"][c] * (m["y"] == c).sum() for c in (0, 1)))
             for lo in range(0, len(texts), block):
                 z = latent(texts[lo:lo + block], m)
                 got = vote(z, m, k, power)
                 out[lo:lo + len(got)] = np.where(np.abs(z).sum(1) > 0, got, prior)
-        yield pa.RecordBatch.from_arrays([keys, pa.array(out)], names=["doc_id", "score"])
+        return [out]
 
-    return per_batch(docs, [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")], run, "doc_id bigint, score double")
+    return with_scores(docs, run, [name], f"{name} double", carry)

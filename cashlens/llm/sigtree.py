@@ -7,11 +7,13 @@ that many documents share hardly ever decide. Every class sharing a prefix shing
 it (its *centre*); all classes that meet at one centre are one group, which so holds every pair that can link there.
 
 A group is searched by a signature tree: leaves are classes in order of size, a node holds the OR of the token bitmaps
-below it, their size range and the least surplus of tokens over bits. The tree is traversed against itself from the
-root; a pair of nodes is dropped when no pair of sets below can overlap enough, or when all below are linked already.
-What remains is compared exactly. Only links that join two parts of a group come out, fewer than its members.
+below it, their size range and the greatest surplus of tokens over bits. The tree is traversed against itself from the
+root, and a pair of nodes is dropped when no pair of sets below can overlap enough. This happens twice: first with the
+bitmaps alone, to find the members that have some possible partner (a node pair is also dropped when all below have
+one); then over these members' sets, where node pairs whose leaves are all linked are dropped and what remains is compared
+exactly. Only links that join two parts of a group come out, fewer than its members.
 
-A group above ``block`` shingles (each member counts as 256 at least) is split by hash into blocks, and every pair of blocks is a task of its own.
+A group above ``block`` members (or shingles) is split by hash into blocks, and every pair of blocks is a task of its own.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cashlens.llm.common import components, grouped, id_filter, per_batch, stage
 
-SKETCH_BITS, SLICES, WORDS64 = 20, 32, 64                               # counts; rows they travel in; bitmap of 4,096 bits
+SKETCH_BITS, SLICES, WORDS64 = 22, 32, 32                               # counts; rows they travel in; bitmap of 2,048 bits
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -73,61 +75,53 @@ def slots(s: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """How many sets have a shingle in each slot: 2^20 counts, whatever the corpus."""
+    """How many sets have a shingle in each slot: 2^22 counts, whatever the corpus; beyond 65,535 all are alike."""
+    def squeeze(counts: np.ndarray) -> bytes:
+        return pa.compress(np.minimum(counts, 65535).astype(np.uint16).tobytes(), codec="zstd", asbytes=True)
+
+    def spread(raw: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(raw, (2 << SKETCH_BITS) // SLICES, codec="zstd", asbytes=True), np.uint16).astype(np.int64)
+
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.int32)
         for b in batches:
             for t in b.column(0).to_pylist():
-                np.add.at(total, slots(shingles(t or "", size)), 1)
+                at = slots(shingles(t or "", size))
+                total[at] += 1                                         # a slot twice in one set counts once
         task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int64()), pa.array([task // 64] * SLICES, pa.int64()),
-                                          pa.array([p.tobytes() for p in np.split(total, SLICES)], pa.binary())],
+                                          pa.array([squeeze(p) for p in np.split(total, SLICES)], pa.binary())],
                                          names=["slice", "part", "counts"])
 
     def add(key, rows):
-        total = sum(np.frombuffer(x, np.int64) for x in rows["counts"].to_pylist())
-        return pa.table({"slice": [key[0].as_py()], "part": pa.array([0], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+        total = sum(spread(x) for x in rows["counts"].to_pylist())
+        return pa.table({"slice": [key[0].as_py()], "part": pa.array([0], pa.int64()), "counts": pa.array([squeeze(total)], pa.binary())})
 
     form = "slice bigint, part bigint, counts binary"
     got = docs.select("text").mapInArrow(count, form).groupBy("slice", "part").applyInArrow(add, form).groupBy("slice", "part").applyInArrow(add, form)
-    out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
+    out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint16)
     for r in got.collect():                                            # SLICES rows of fixed size
-        out[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(out.ravel(), 2**32 - 1).astype(np.uint32)
+        out[r["slice"]] = spread(r["counts"])
+    return out.ravel()
 
 
-class Group:
-    """Sets of one group with a signature tree above them."""
+def bitmap(s: np.ndarray) -> np.ndarray:
+    bits = np.zeros(WORDS64 * 64, bool)
+    bits[(s & np.uint64(WORDS64 * 64 - 1)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.uint64)
 
-    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], percent: int, fan: int = 8):
-        size = np.array([len(s) for s in sets])
-        order = np.lexsort((ids, size))
-        self.ids, self.sets, self.size, self.percent, self.fan = ids[order], [sets[i] for i in order], size[order], percent, fan
-        self.parent = np.arange(len(ids))
-        bits = np.zeros((len(ids), WORDS64 * 64), bool)
-        for i, s in enumerate(self.sets):
-            bits[i, (s & np.uint64(WORDS64 * 64 - 1)).astype(np.int64)] = True
-        maps = np.packbits(bits, axis=1).view(np.uint64)
-        self.levels = [(maps, self.size, self.size, self.size - bits.sum(1))]
+
+class Tree:
+    """Signature tree over members given by number, set size and bitmap, in order of size."""
+
+    def __init__(self, ids: np.ndarray, size: np.ndarray, maps: np.ndarray, percent: int, fan: int = 8):
+        self.ids, self.size, self.percent, self.fan = ids, size, percent, fan
+        self.levels = [(maps, size, size, size - np.bitwise_count(maps).sum(1, dtype=np.int64))]
         while len(self.levels[-1][0]) > 1:
             m, lo, hi, over = self.levels[-1]
             at = np.arange(0, len(m), fan)
             self.levels.append((np.bitwise_or.reduceat(m, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(over, at)))
 
-    def root(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = p[p[i]]
-            i = p[i]
-        return i
-
-    def similar(self, i: int, j: int) -> bool:
-        both = self.size[i] + self.size[j]
-        a, b = (self.sets[i], self.sets[j]) if self.size[i] <= self.size[j] else (self.sets[j], self.sets[i])
-        at = np.searchsorted(b, a)
-        common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-        return (100 + self.percent) * common >= self.percent * both
-
     def may(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Node pairs below which some sets may overlap enough."""
         m, lo, hi, over = self.levels[level]
@@ -139,54 +133,118 @@ class Group:
             ok[cut] = (100 + self.percent) * np.minimum(best[cut], shared) >= need[cut]
         return ok
 
-    def joined(self) -> list[np.ndarray]:
-        """By level: the part all leaves below a node belong to, or -1."""
-        out = [np.array([self.root(i) for i in range(len(self.ids))])]
+    def traverse(self, skip):
+        """Leaf pairs that may be similar, in bounded lots, depth first. ``skip(level, a, b)``: pairs not to enter."""
+        todo = [(len(self.levels) - 1, np.array([0]), np.array([0]))]
+        while todo:
+            level, a, b = todo.pop()
+            keep = ~skip(level, a, b)
+            a, b = a[keep], b[keep]
+            keep = self.may(level, a, b)
+            a, b = a[keep], b[keep]
+            if not level:
+                yield a[a != b], b[a != b]
+                continue
+            width, f = len(self.levels[level - 1][0]), self.fan
+            for lo in range(0, len(a), 2048):
+                p, q = a[lo:lo + 2048], b[lo:lo + 2048]
+                x = (p[:, None] * f + np.arange(f)).repeat(f, 1).ravel()
+                y = np.tile(q[:, None] * f + np.arange(f), (1, f)).ravel()
+                ok = (x < width) & (y < width) & ((x <= y) | (p != q).repeat(f * f))
+                todo.append((level - 1, x[ok], y[ok]))
+
+    def upwards(self, leaf: np.ndarray, merge) -> list[np.ndarray]:
+        out = [leaf]
         for _ in self.levels[1:]:
-            v, at = out[-1], np.arange(0, len(out[-1]), self.fan)
-            lo, hi = np.minimum.reduceat(v, at), np.maximum.reduceat(v, at)
-            out.append(np.where(lo == hi, lo, -1))
+            out.append(merge(out[-1], np.arange(0, len(out[-1]), self.fan)))
         return out
 
+    def with_partner(self, centre: int) -> np.ndarray:
+        """Members for which the bitmaps leave some partner possible."""
+        n = len(self.ids)
+        done = np.zeros(n, bool)
+        hit = np.flatnonzero(self.ids == centre)
+        if len(hit):
+            others = np.delete(np.arange(n), hit)
+            done[others[self.may(0, others, np.full(len(others), hit[0]))]] = True
+            done[hit] = done.any()
+        state = {"at": -1, "all": []}
+
+        def skip(level, a, b):
+            if state["at"] != (now := int(done.sum())):                # new marks: look again
+                state.update(at=now, all=self.upwards(done, np.logical_and.reduceat))
+            return state["all"][level][a] & state["all"][level][b]
+        for a, b in self.traverse(skip):
+            done[a] = done[b] = True
+        return self.ids[done]
+
+
+class Group(Tree):
+    """A tree over whole sets, joined into parts."""
+
+    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], percent: int):
+        size = np.array([len(s) for s in sets])
+        order = np.lexsort((ids, size))
+        self.sets = [sets[i] for i in order]
+        super().__init__(ids[order], size[order], np.stack([bitmap(s) for s in self.sets]), percent)
+        self.parent = np.arange(len(ids))
+
+    def root(self, i: int) -> int:
+        p = self.parent
+        while p[i] != i:
+            p[i] = p[p[i]]
+            i = p[i]
+        return i
+
+    def similar(self, i: int, j: int) -> bool:
+        both = self.size[i] + self.size[j]
+        a, b = (self.sets[i], self.sets[j]) if self.size[i] <= self.size[j] else (self.sets[j], self.sets[i])
+        at = np.searchsorted(b, a)
+        common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+        return (100 + self.percent) * common >= self.percent * both
+
     def link(self, i: int, j: int, out: list) -> None:
         a, b = self.root(i), self.root(j)
         if a != b and self.similar(i, j):
             self.parent[max(a, b)] = min(a, b)
             out.append((int(self.ids[i]), int(self.ids[j])))
 
-    def links(self, centre: int | None = None) -> list[tuple[int, int]]:
+    def links(self, centre: int) -> list[tuple[int, int]]:
+        """Pairs of similar members that join two parts."""
         out: list[tuple[int, int]] = []
         n = len(self.ids)
-        if n < 2:
-            return out
-        if centre is not None and len(hit := np.flatnonzero(self.ids == centre)):
-            c = int(hit[0])                                            # most members of a group of copies link here
-            others = np.delete(np.arange(n), c)
-            for i in others[self.may(0, others, np.full(n - 1, c))]:
-                self.link(int(i), c, out)
-        part, top = self.joined(), len(self.levels) - 1
-        todo = [(top, np.array([0]), np.array([0]))]
-        while todo:
-            level, a, b = todo.pop()
-            alike = (part[level][a] >= 0) & (part[level][a] == part[level][b])
-            a, b = a[~alike], b[~alike]
-            keep = self.may(level, a, b)
-            a, b = a[keep], b[keep]
-            if not level:
-                for i, j in zip(a.tolist(), b.tolist()):
-                    self.link(i, j, out)
-                continue
-            width = len(self.levels[level - 1][0])
-            for lo in range(0, len(a), 2048):                          # bounded frontier, depth first
-                x = (a[lo:lo + 2048, None] * self.fan + np.arange(self.fan)).repeat(self.fan, 1).ravel()
-                y = np.tile(b[lo:lo + 2048, None] * self.fan + np.arange(self.fan), (1, self.fan)).ravel()
-                ok = (x < width) & (y < width) & ((x < y) | ((level > 1) & (x == y)))
-                ok |= (x < width) & (y < width) & (level > 1) & (a[lo:lo + 2048].repeat(self.fan ** 2) != b[lo:lo + 2048].repeat(self.fan ** 2))
-                todo.append((level - 1, x[ok], y[ok]))
+        if len(hit := np.flatnonzero(self.ids == centre)):             # most members of a group of copies link here
+            others = np.delete(np.arange(n), hit)
+            for i in others[self.may(0, others, np.full(len(others), hit[0]))]:
+                self.link(int(i), int(hit[0]), out)
+
+        def merge(v, at):
+            lo, hi = np.minimum.reduceat(v, at), np.maximum.reduceat(v, at)
+            return np.where(lo == hi, lo, -1)
+        state = {"at": -1, "part": []}
+
+        def skip(level, a, b):
+            if state["at"] != len(out):
+                state.update(at=len(out), part=self.upwards(np.array([self.root(i) for i in range(n)]), merge))
+            v = state["part"][level]
+            return (v[a] >= 0) & (v[a] == v[b]) if level else (a != b) & (v[a] == v[b])
+        for a, b in self.traverse(skip):
+            for i, j in zip(a.tolist(), b.tolist()):
+                self.link(i, j, out)
         return out
 
 
-def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, block: int = 1_000_000) -> DataFrame:
+def dealt_in_blocks(members: DataFrame, weight, block: int) -> DataFrame:
+    """Members (centre, doc_id, n) of every group of two or more, with the blocks b1, b2 whose task compares them."""
+    big = (members.groupBy("centre").agg(F.ceil(F.sum(weight) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m"))
+           .where("m > 1").drop("m"))
+    return (members.join(big, "centre").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .where("blocks = 1 or own != other")                       # a block meets itself where it meets another
+            .select("centre", "doc_id", "n", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2")))
+
+
+def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, block: int = 8192, block_shingles: int = 1_000_000) -> DataFrame:
     """Every document's class: doc_id, n_shingles (set size), class_id (smallest doc_id of equal set), component_id.
 
     Documents link when 100 |a & b| >= percent |a | b|. A null or empty text has the empty set and links with nothing,
@@ -198,11 +256,12 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     counts = spark.sparkContext.broadcast(sketch(docs, size))
 
     def profile(batch: pa.RecordBatch):
-        n, digest, heads = [], [], []
+        n, digest, heads, maps = [], [], [], []
         for t in batch.column(1).to_pylist():
             s = shingles(t or "", size)
             n.append(len(s))
             digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            maps.append(bitmap(s).tobytes() if len(s) else None)
             k = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
             if k:
                 f = counts.value[slots(s)]
@@ -212,23 +271,30 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
                     s = np.concatenate([s[sure], s[f == cut][:k - len(sure)]])     # s is sorted: ties by hash
             heads.append(s.view(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
-                                          pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "heads"])
+                                          pa.array(heads, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
+                                         names=["doc_id", "n_shingles", "digest", "heads", "map"])
 
-    prof = stage(per_batch(docs, ["doc_id", "text"], profile, "doc_id bigint, n_shingles bigint, digest binary, heads array<bigint>"), "join-profile")
+    prof = stage(per_batch(docs, ["doc_id", "text"], profile, "doc_id bigint, n_shingles bigint, digest binary, heads array<bigint>, map binary"), "join-profile")
     known = prof.where("doc_id is not null and digest is not null")
     classes = stage(known.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "join-classes")
-    reps = known.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    heads = reps.select("doc_id", "n_shingles", F.explode("heads").alias("h"))
+    reps = known.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
+    heads = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("heads").alias("h"))
     met = heads.groupBy("h").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "centre")
-    pairs = stage(heads.join(met, "h").groupBy("centre", "doc_id").agg(F.first("n_shingles").alias("n_shingles")), "join-pairs")
-    # groups above the block size are split; each member goes to every pair of blocks that has its own
-    big = pairs.groupBy("centre").agg(F.ceil(F.sum(F.greatest("n_shingles", F.lit(256))) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    dealt = (pairs.join(big, "centre").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("centre", "doc_id", "blocks", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2")))
-    # one block alone needs no task of its own when it meets others
-    dealt = stage(dealt.where("blocks <= 2 and (blocks = 1 or b1 != b2) or blocks > 2 and b1 != b2"), "join-dealt")
-    place, wanted = id_filter(pairs.select("doc_id"), "doc_id")
+    pairs = stage(heads.join(met, "h").groupBy("centre", "doc_id").agg(F.first("n").alias("n")), "join-pairs")
+
+    def partners(group: pa.Table):
+        size = group["n"].to_numpy()
+        order = np.lexsort((group["doc_id"].to_numpy(), size))
+        maps = np.frombuffer(b"".join(group["map"].to_pylist()), np.uint64).reshape(-1, WORDS64)[order]
+        found = Tree(group["doc_id"].to_numpy()[order], size[order], maps, percent).with_partner(group["centre"][0].as_py())
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), group["centre"][0].as_py())), pa.array(found)], names=["centre", "doc_id"])
+
+    possible = (grouped(dealt_in_blocks(pairs, F.lit(1), block).join(prof.select("doc_id", "map").where("map is not null"), "doc_id")
+                        .select("centre", "b1", "b2", "doc_id", "n", "map"), ["centre", "b1", "b2"], ["doc_id"], partners, "centre bigint, doc_id bigint"))
+    members = stage(possible.distinct().join(pairs, ["centre", "doc_id"]), "join-members")
+    dealt = dealt_in_blocks(members, F.greatest("n", F.lit(128)), block_shingles)
+    place, wanted = id_filter(members.select("doc_id"), "doc_id")
 
     def sets(batch: pa.RecordBatch):
         keep = np.flatnonzero(wanted(batch.column(2).to_numpy()))

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from cashlens.llm.common import held_out, per_batch, stage
+from cashlens.llm.common import held_out, per_batch, stage, with_scores
 
 CATEGORIES = ("toxic_junk", "toxic_prose", "toxic")
 WORDS = regex.compile(r"[\p{L}\p{M}]+").findall
@@ -192,8 +192,9 @@ _PRESENCE: dict[str, Presence] = {}
 
 
 def score(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean: int = 8000, max_features: int = 4096,
-          most_false: float = 0.002, least_z: float = 1.7) -> DataFrame:
-    """Every document's chances: doc_id, toxic_junk, toxic_prose, toxic (0 to 1), predicted (1: reject).
+          most_false: float = 0.002, least_z: float = 1.7,
+          prefix: str = "", carry: bool = False) -> DataFrame:
+    """Every document's chances: doc_id (or all columns of ``docs``), toxic_junk, toxic_prose, toxic (0 to 1), predicted (1: reject).
 
     ``most_false`` is the share of clean training rows that the cut may reject out of fold; ``least_z`` the least
     standardised difference between toxic and clean rows that a feature must show. Null and empty texts have no
@@ -204,16 +205,14 @@ def score(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean:
     shared = docs.sparkSession.sparkContext.broadcast(model)           # bounded by max_features
     tag = f"{docs.sparkSession.sparkContext.applicationId}-{shared._jbroadcast.id() if shared._jbroadcast else 0}"
 
-    def run(batch: pa.RecordBatch):
-        m, texts = shared.value, [t or "" for t in batch.column(1).to_pylist()]
-        p, cut = np.zeros((len(texts), 3)), 2.0
+    def run(texts: list[str]):
+        m, p, cut = shared.value, np.zeros((len(texts), 3)), 2.0
         if m is not None:
             if tag not in _PRESENCE:
                 _PRESENCE.clear()
                 _PRESENCE[tag] = Presence(m["number"])
             p, cut = predict_chain([_PRESENCE[tag].of(t) for t in texts], len(m["number"]), m["models"]), m["cut"]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(3)),
-                                          pa.array((p[:, 2] >= cut).astype(np.int32))], names=["doc_id", *CATEGORIES, "predicted"])
+        return [*(np.ascontiguousarray(p[:, k]) for k in range(3)), (p[:, 2] >= cut).astype(np.int32)]
 
-    return per_batch(docs, [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")], run,
-                     "doc_id bigint, toxic_junk double, toxic_prose double, toxic double, predicted int")
+    names = [prefix + c for c in (*CATEGORIES, "predicted")]
+    return with_scores(docs, run, names, ", ".join(f"{n} {t}" for n, t in zip(names, ("double", "double", "double", "int"))), carry)
