@@ -100,7 +100,7 @@ def rate_by(df: DataFrame, kind: str, key: Column) -> DataFrame:
 POISSON_CDF = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759]
 
 
-def bootstrap(df: DataFrame, a: str, b: str, n_boot: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap(df: DataFrame, a: str, b: str, n_boot: int = 1000, seed: int = 42) -> DataFrame:
     """Paired row resampling: interval of average precision for A, B and the lift B − A.
 
     Each row gets a Poisson(1) weight per replicate from its hash, so a replicate needs no shuffle

@@ -37,20 +37,15 @@ class ModelConfig:
 
 # ------------------------------------------------------------------------------- temporal folds
 def temporal_folds(cfg: PanelConfig, last_labelled: int) -> list[dict]:
-    """Expanding folds of two evaluation months, training far enough back that its outcomes were
-    known, oldest first; the final months are the holdout."""
-    def fold(months):
-        return {"eval": months, "train_max": months[0] - cfg.embargo}
-    holdout = fold([last_labelled - i for i in reversed(range(cfg.holdout_months))])
-    folds, end = [], holdout["eval"][0] - 1
-    for _ in range(cfg.cv_folds):
-        f = fold([end - 1, end])
-        if f["train_max"] < 3:
-            break
-        folds.append(f)
-        end -= 2
-    named = [{"name": f"fold{i}", **f} for i, f in enumerate(reversed(folds), 1)]
-    return named + [{"name": "holdout", **holdout}]
+    """Expanding folds, oldest first, the final months as holdout last.
+
+    Fold k from the end evaluates the two months that end 2k months before the holdout; its training months end an
+    embargo earlier, when their outcomes were known, and must be four at least."""
+    first = last_labelled - cfg.holdout_months + 1
+    starts = [first - 2 * k for k in range(cfg.cv_folds, 0, -1)]
+    usable = [m for m in starts if m - cfg.embargo >= 3]
+    cv = [{"name": f"fold{i}", "eval": [m, m + 1], "train_max": m - cfg.embargo} for i, m in enumerate(usable, 1)]
+    return [*cv, {"name": "holdout", "eval": list(range(first, last_labelled + 1)), "train_max": first - cfg.embargo}]
 
 
 def split(df: DataFrame, fold: dict) -> tuple[DataFrame, DataFrame]:
@@ -102,6 +97,8 @@ def fit_logistic(train: DataFrame, features: list[str], mc: ModelConfig) -> Pipe
     """Median imputation, standardised numbers, one-hot categories, balanced ridge logistic."""
     num, cats = _parts(features)
     num = filled_columns(train, num)
+    for c in cats:
+        train = encode(train, train, c, mc.min_frequency)
     train, n = weighted(train)
     stages = [Imputer(inputCols=num, outputCols=[f"{c}__m" for c in num], strategy="median"),
               VectorAssembler(inputCols=[f"{c}__m" for c in num], outputCol="__num"),
@@ -143,9 +140,10 @@ def fit_forest(train: DataFrame, features: list[str], mc: ModelConfig) -> Pipeli
 
 def predict(model: PipelineModel, df: DataFrame, features: list[str], out: str = "p") -> DataFrame:
     trees = not isinstance(model.stages[-1], LogisticRegressionModel)
-    src = for_trees(df, features) if trees else df
-    scored = model.transform(src).select("company_id", "t_idx", vector_to_array("probability")[1].alias(out))
-    return df.join(scored, ["company_id", "t_idx"])
+    num = _parts(features)[0]
+    kept = df.withColumns({f"__keep_{c}": F.col(c) for c in num}) if trees else df     # the model reads filled columns
+    scored = model.transform(for_trees(kept, features) if trees else kept).withColumn(out, vector_to_array("probability")[1])
+    return scored.select(*[F.col(f"__keep_{c}").alias(c) if trees and c in num else c for c in df.columns if c != out], out)
 
 
 def average(p: str, q: str):

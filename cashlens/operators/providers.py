@@ -107,10 +107,10 @@ def provider_order(df: DataFrame, order: str) -> DataFrame:
     return df.orderBy(*[F.expr(e) for e in PROVIDER_ORDERS[order]], "bank_name")
 
 
-def lowest_companies(c: DataFrame, n: int = 24) -> DataFrame:
-    """The n least healthy companies of every provider (a per-group top-n, cut before the shuffle)."""
+def lowest_companies(c: DataFrame, n: int | None = None) -> DataFrame:
+    """Every provider's companies by rank of health; only the n least healthy where n is given (cut before the shuffle)."""
     w = W.partitionBy("bank_name").orderBy("score", "company_id")
-    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return c.withColumn("rank", F.row_number().over(w)).where(F.lit(True) if n is None else F.col("rank") <= n)
 
 
 def connector_counts(roll: DataFrame, rows: DataFrame) -> DataFrame:

@@ -198,9 +198,16 @@ PORTFOLIO_ORDERS: dict[str, list[Column | str]] = {
     "movement": ["-abs(delta3m)"], "fall": ["delta3m"], "rise": ["-delta3m"], "lowest": ["score"], "highest": ["-score"]}
 
 
-def portfolio_order(df: DataFrame, order: str = "movement", limit: int = 300) -> DataFrame:
-    """Top rows of a report order; ties by company."""
-    return df.orderBy(*[F.expr(e) for e in PORTFOLIO_ORDERS[order]], "company_id").limit(limit)
+def portfolio_order(df: DataFrame, order: str = "movement", limit: int | None = None) -> DataFrame:
+    """Rows in a report order, ties by company; only the first ``limit`` where one is given."""
+    out = df.orderBy(*[F.expr(e) for e in PORTFOLIO_ORDERS[order]], "company_id")
+    return out if limit is None else out.limit(limit)
+
+
+def alert_order(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Alerts, gravest and fastest falling first; only the first ``limit`` where one is given."""
+    out = df.orderBy(F.desc("severity"), "health_delta_1m", "company_id")
+    return out if limit is None else out.limit(limit)
 
 
 def portfolio_history(t: Treasury) -> DataFrame:

@@ -185,4 +185,4 @@ def _tree(t):
     return c.groupBy("company_id", "t_idx").agg(F.sum("phi").alias("total"), F.first("base").alias("base"), F.first("margin").alias("margin"))
 
 
-query("bootstrap")(lambda t: ev.bootstrap(holdout(t), "score_A", "score", 200))
+query("bootstrap")(lambda t: ev.bootstrap(holdout(t), "score_A", "score"))

@@ -82,8 +82,8 @@ q("risk_band")(lambda t: scored(t).withColumn("band", risk_band("score")))
 q("last_row")(lambda t: sv.last_row(scored(t), F.col("score"), F.col("T")))
 q("company_master")(lambda t: sv.company_master(t).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd")))
 q("company_kpi")(sv.company_kpi)
-for _n in ("alerts", "alert_order"):
-    q(_n)(lambda t: sv.alerts(t).orderBy(F.desc("severity"), "health_delta_1m", "company_id").limit(100))
+q("alerts")(sv.alerts)
+q("alert_order")(lambda t: sv.alert_order(sv.alerts(t)))
 q("alert_why")(sv.alerts)
 
 

@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is created only when none is configured (tests)."""
+    """The cluster's shared folder. Only a session on a single machine (master ``local[...]``) may go without the setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share: "
+                               "layers are written there and read back")
         root = tempfile.mkdtemp(prefix="cashlens-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

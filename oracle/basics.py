@@ -58,13 +58,11 @@ S("dim_bank", "(SELECT bank_name, count(*) AS n_products, count(DISTINCT company
 S("dim_counterparty", """(SELECT counterparty_id, company_id, count(*) AS n_tx, sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS inflow,
   sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS outflow FROM transactions WHERE counterparty_id IS NOT NULL GROUP BY 1, 2)""")
 for _n in ("month_end_balances", "j_range_later", "j_cross_grid"):
-    S(_n, "rec")
+    S(_n, "(SELECT *, at_end AS bal_T FROM month_end WHERE t_idx < 24)")
 S("j_left_dim", "(SELECT product_type AS type, count(*) AS n, sum(amount) AS amount FROM fact_transaction GROUP BY 1)")
 S("j_inner", "(SELECT b.product_id, p.company_id, b.balance, p.type FROM balances b JOIN dim_product p USING (product_id))")
-S("j_range_invoice", "(SELECT company_id, t_idx, is_payable, lag, count(*) AS n FROM inv_seen GROUP BY ALL)")
-S("j_range_conc", """(SELECT w.company_id, w.t_idx, counterparty_id, n_cur, inflow, outflow FROM (SELECT * FROM cp_w WHERE win = 'cur') w JOIN (
-  SELECT t.company_id, g.t_idx, t.counterparty_id, count(DISTINCT date_trunc('month', t.date)) AS n_cur FROM transactions t JOIN grid g
-  ON t.date >= g.T_start - INTERVAL 5 MONTH AND t.date < g.T_next WHERE t.counterparty_id IS NOT NULL GROUP BY 1, 2, 3) USING (company_id, t_idx, counterparty_id))""")
+S("j_range_invoice", "(SELECT company_id, t_idx, is_payable, lag, count(*) AS n FROM bill_seen GROUP BY ALL)")
+S("j_range_conc", "(SELECT company_id, t_idx, counterparty_id, recent AS n_cur, got AS inflow, gave AS outflow FROM party_window WHERE recent > 0)")
 for _n in ("j_churn", "cp_churn"):
     S(_n, "cm_concentration")
 _ids = "company_id IN (SELECT company_id FROM reserved)"

@@ -220,7 +220,7 @@ S("last_row", "last_panel")
 S("company_master", "master")
 S("company_kpi", "kpi")
 for _n in ("alerts", "alert_order"):
-    S(_n, "(SELECT * FROM alert_rows ORDER BY severity DESC, health_delta_1m, company_id LIMIT 100)")
+    S(_n, "alert_rows")
 S("alert_why", "alert_rows")
 S("alert_feed", "feed")
 S("alert_filter", "(SELECT * FROM feed WHERE signal <> 'excepcionalmente sólida')")
@@ -234,7 +234,7 @@ S("cohort_cells", "cells_now")
 for _n in ("portfolio_rows", "compact_rows"):
     S(_n, "port")
 S("portfolio_filter", "(SELECT * FROM port WHERE health_band = 'vigilar' AND (CAST(company_id AS VARCHAR) LIKE '%1%' OR group_id LIKE '%1%'))")
-S("portfolio_order", "(SELECT * FROM port ORDER BY abs(delta3m) DESC, company_id LIMIT 300)")
+S("portfolio_order", "port")
 S("watch_row", "(SELECT * FROM port WHERE band = 'healthy' AND trend = 'down')")
 S("portfolio_history", """(SELECT T, count(*) FILTER (health_band = 'sólida') AS solid, count(*) FILTER (health_band = 'sana') AS healthy,
     count(*) FILTER (health_band = 'vigilar') AS watch, count(*) FILTER (health_band = 'riesgo') AS risk, avg(health_smooth) AS mean_health FROM sc_scored GROUP BY T)""")
@@ -264,7 +264,7 @@ S("provider_filter", "(SELECT * FROM prov WHERE kind = 'banco' AND companies >=
 S("provider_kind", "(" + kinds("prods") + ")")
 S("provider_types", "(SELECT bank_name, type, count(*) AS n FROM prods_in GROUP BY 1, 2)")
 S("provider_totals", "(SELECT count(DISTINCT bank_name) AS providers, count(DISTINCT service) AS connectors, count(*) AS products, (SELECT count(*) FROM port) AS companies FROM prods_in)")
-S("provider_companies", "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bank_name ORDER BY score, company_id) AS rank FROM bank_company) WHERE rank <= 24)")
+S("provider_companies", "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bank_name ORDER BY score, company_id) AS rank FROM bank_company))")
 S("j_company_provider", "(SELECT company_id, count(*) AS providers, sum(products) AS products, sum(outstanding) AS outstanding FROM bank_company GROUP BY 1)")
 S("contrib", "contribs")
 S("contrib_global", """(SELECT feature, block, mean_abs, sum(mean_abs) OVER (PARTITION BY block) / sum(mean_abs) OVER () AS block_share,
