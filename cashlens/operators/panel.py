@@ -12,7 +12,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cashlens.functions.exprs import clip, count_if, flag, safe_div, slog
+from cashlens.functions.exprs import clip, count_if, finite, flag, safe_div, slog
 from cashlens.functions.ranking import row_numbers
 from cashlens.operators import company_month as cm
 from cashlens.operators.star import dim_company, dim_product
@@ -482,5 +482,6 @@ def panel(t: Treasury, names: list[str] | None = None, keep: list[str] = ()) ->
         df = size_cohort(df)
     defaults = {"country": "UNK", "currency": "UNK", "erp_any": "NONE", "main_bank": "NOBANK"}
     return df.select("company_id", "T", "t_idx", *[
-        F.coalesce(c, F.lit(defaults[c])).alias(c) if c in defaults else F.col(c)
+        F.coalesce(c, F.lit(defaults[c])).alias(c) if c in defaults
+        else finite(F.col(c)).alias(c) if df.schema[c].dataType.typeName() == "double" else F.col(c)
         for c in dict.fromkeys([*names, *keep])])

@@ -39,8 +39,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Partitioned Parquet whose files may have different columns. Month folders stay text."""
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    return spark.read.option("mergeSchema", True).parquet(path)
+    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")                 # only while this read finds its schema
+    try:
+        return spark.read.option("mergeSchema", True).parquet(path)
+    finally:
+        spark.conf.set(key, before)
 
 
 def typed(raw: DataFrame, name: str) -> DataFrame:
@@ -189,8 +194,10 @@ class StarTreasury(Treasury):
             (F.col("s_acctbal") * F.when(k == 3, -20).otherwise(40)).alias("balance"))
 
     # facts ---------------------------------------------------------------------------------
-    def _lines(self, want, orders_cols, part_cols, until):
-        df = self.source("lineitem").where(F.col("l_shipdate") < F.lit(until).cast("timestamp"))
+    def _lines(self, want, orders_cols, part_cols, days):
+        """Lines shipped before so many days after the snapshot, with the lookups that ``want`` needs."""
+        until = F.date_add(F.lit(self.cfg.snapshot).cast("date"), days).cast("timestamp")
+        df = self.source("lineitem").where(F.col("l_shipdate") < until)
         if set(want) & orders_cols:
             o = self.source("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
             df = df.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left")
@@ -208,7 +215,7 @@ class StarTreasury(Treasury):
         return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
     def _transactions(self, want):
-        df = self._lines(want, {"accounting_status", "counterparty_id"}, {"description"}, "2001-09-04")
+        df = self._lines(want, {"accounting_status", "counterparty_id"}, {"description"}, 3)
         s, n, f, p = F.col("l_suppkey"), F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_extendedprice")
         line_of_credit = (s % 2 == 0) & (f == "N") & (n == 7)
         # position 1..7 of the movement kinds
@@ -232,7 +239,7 @@ class StarTreasury(Treasury):
         return df.select(*[have[c]().alias(c) for c in want])
 
     def _invoices(self, want):
-        df = self._lines(want, {"status", "payment_date", "counterparty_id"}, {"concept"}, "2001-10-01")
+        df = self._lines(want, {"status", "payment_date", "counterparty_id"}, {"concept"}, 30)
         df = df.where(F.col("l_suppkey") % 3 != 1)
         n, p, due = F.col("l_linenumber"), F.col("l_extendedprice"), F.col("l_shipdate")
         paid_on = F.date_add(F.to_date(due), (2 * F.col("l_quantity") - 40).cast("int")).cast("timestamp")
