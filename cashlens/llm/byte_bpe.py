@@ -2,9 +2,9 @@
 
 1. One pass over the texts finds the distinct words (matches of the split pattern); Spark aggregates them, so that
    only distinct words of a task are shuffled.
-2. Each distinct word becomes an array of single bytes, and ``aggregate`` merges the adjacent pair of lowest rank, the
-   leftmost first, until no pair has a rank. Ranks come from a literal map, dealt into hashed buckets because a map
-   lookup in Spark is a linear search. The pair ranks are carried along; a step looks up the two new pairs only.
+2. Each distinct word becomes an array of the ids of its bytes, and ``aggregate`` merges the adjacent pair of lowest rank,
+   the leftmost first, until no pair has a rank. Ranks come from a literal map of pairs, dealt into buckets because a
+   map lookup in Spark is a linear search. The pair ranks are carried along; a step looks up the two new pairs only.
 3. The encoded words are written as sorted hash files to the shared folder. A second pass over the texts joins the
    ids of the words of each text by looking them up there: no text is shuffled, and a task's memory is a bounded memo.
 
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cashlens.llm.common import per_batch, shared_folder, stage
 from cashlens.llm.hashfile import file_column, files_for, find, hash_pairs, save
 
-BUCKETS, NO_RANK = 65536, 2**31 - 1
+BUCKETS, PAIR, NO_RANK = 40009, 1 << 20, 2**31 - 1
 #: White space as Unicode's property has it, which is what ``\s`` means to the tokenizer.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -43,22 +43,33 @@ def splitter(pattern: str):
     return regex.compile(p).findall
 
 
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def chunker(pattern: str):
-    """Cuts a text before blanks into chunks that the pattern splits each for itself as it would the whole text.
+    """(cut, split): ``cut`` parts a text at blanks, ``split`` gives the words of a chunk as the pattern finds them.
 
     A match never runs over a blank except in a run of white space, so a text with white space on both sides of a
-    blank (or before a last one) stays whole.
+    blank (or before a last one) stays whole. Chunks stand without the blank before them; the first chunk of a text,
+    which has none, is marked by a NUL in front.
     """
-    across = regex.compile(f"[{SPACE}] (?=[{SPACE}]|$)").search
+    across, words = regex.compile(f"[{SPACE}] (?=[{SPACE}]|$)").search, splitter(pattern)
+    doubtful = [[w + " " for w in BLANKS if ascii_ <= w.isascii()] for ascii_ in (False, True)]
 
     def cut(text: str) -> list[str]:
         if not text:
             return []
-        if across(text):
-            return [text]
-        head, *rest = text.split(" ")
-        return ([head] if head else []) + [" " + c for c in rest]
-    return cut
+        if any(w in text for w in doubtful[text.isascii()]) and across(text):
+            return ["\0" + text]
+        parts = text.split(" ")
+        parts[0] = "\0" + parts[0]
+        return parts
+
+    def split(chunk: str) -> list[str]:
+        if chunk.isalpha():                                            # letters alone are one word
+            return [" " + chunk]
+        return words(chunk[1:]) if chunk[:1] == "\0" else words(" " + chunk)
+    return cut, split
 
 
 def let(value: Column, fn) -> Column:
@@ -67,19 +78,43 @@ def let(value: Column, fn) -> Column:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """Literal array of maps hex piece → rank; crc32 names a piece's bucket."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    """Literal map (pair of ids as one number) → rank of the joined piece: buckets of keys k and their ranks r."""
+    buckets: list[dict] = [{"k": [], "r": []} for _ in range(BUCKETS)]
     for piece, r in ranks.items():
-        key = piece.hex().upper()
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = r
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+        for cut in range(1, len(piece)):
+            a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if a is not None and b is not None:
+                bucket = buckets[(a * 31 + b) % BUCKETS]
+                bucket["k"].append(a * PAIR + b)
+                bucket["r"].append(r)
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<struct<k:array<bigint>,r:array<int>>>")
+
+
+def byte_ids(ranks: dict[bytes, int]) -> Column:
+    """Literal map from two hex digits to the id of that byte."""
+    return F.from_json(F.lit(json.dumps({f"{b:02X}": ranks[bytes([b])] for b in range(256)})), "map<string,int>")
+
 
+def unreachable(ranks: dict[bytes, int]) -> dict[str, int]:
+    """Words of the vocabulary that merging wouldn't make (none, in vocabularies that come from merging)."""
+    return {b.decode(): r for b, r in ranks.items() if heap_merges(b, ranks) != [r] and b.decode(errors="replace").encode() == b}
 
-def fold_merges(word: Column, ranks: Column) -> Column:
+
+def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
     """Ids (array<int>) of a string column's words by ranked merges."""
-    def rank(piece: Column) -> Column:
-        found = F.get(ranks, F.pmod(F.crc32(piece.cast("binary")), F.lit(BUCKETS)).cast("int"))
-        return F.coalesce(F.try_element_at(found, piece), F.lit(NO_RANK))
+    # the literal stands in the plan once, as a bound variable
+    ids = let(rank_map(ranks), lambda table: _fold(word, table, byte_ids(ranks)))
+    for w, r in unreachable(ranks).items():
+        ids = F.when(word == w, F.array(F.lit(r))).otherwise(ids)
+    return ids
+
+
+def _fold(word: Column, table: Column, single: Column) -> Column:
+    none = F.array().cast("array<int>")
+
+    def rank(a: Column, b: Column) -> Column:
+        return let(F.get(table, F.pmod(a * 31 + b, F.lit(BUCKETS))), lambda found: F.coalesce(
+            F.get(found["r"], (F.array_position(found["k"], a.cast("long") * PAIR + b) - 1).cast("int")), F.lit(NO_RANK)))
 
     def tail(a: Column, start: Column) -> Column:
         return F.slice(a, start, F.lit(1 << 30))
@@ -87,28 +122,23 @@ def fold_merges(word: Column, ranks: Column) -> Column:
     def step(acc: Column, _: Column) -> Column:
         parts, pairs = acc["parts"], acc["pairs"]
 
-        def merge(p: Column) -> Column:
-            whole = F.concat(F.get(parts, p - 1), F.get(parts, p))
-
-            def put(w: Column) -> Column:
-                left = F.when(p > 1, F.array(rank(F.concat(F.get(parts, p - 2), w)))).otherwise(F.array().cast("array<int>"))
-                right = (F.when(p + 1 < F.size(parts), F.array(rank(F.concat(w, F.get(parts, p + 1)))))
-                         .otherwise(F.array().cast("array<int>")))
+        def merge(low: Column) -> Column:                              # a pair's rank is the joined piece's id
+            def at(p: Column) -> Column:
+                left = F.when(p > 1, F.array(rank(F.get(parts, p - 2), low))).otherwise(none)
+                right = F.when(p + 1 < F.size(parts), F.array(rank(low, F.get(parts, p + 1)))).otherwise(none)
                 return F.struct(
-                    F.concat(F.slice(parts, F.lit(1), p - 1), F.array(w), tail(parts, p + 2)).alias("parts"),
+                    F.concat(F.slice(parts, F.lit(1), p - 1), F.array(low), tail(parts, p + 2)).alias("parts"),
                     F.concat(F.slice(pairs, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, tail(pairs, p + 2)).alias("pairs"))
-            return let(whole, put)
+            return F.when(low == NO_RANK, acc).otherwise(let(F.array_position(pairs, low).cast("int"), at))
+        return let(F.coalesce(F.array_min(pairs), F.lit(NO_RANK)), merge)
 
-        lowest = F.coalesce(F.array_min(pairs), F.lit(NO_RANK))
-        return F.when(lowest == NO_RANK, acc).otherwise(let(F.array_position(pairs, lowest).cast("int"), merge))
+    def start(parts: Column) -> Column:
+        pairs = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda b, i: rank(F.get(parts, i), b))
+        return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.struct(parts.alias("parts"), pairs.alias("pairs")), step)["parts"]
 
     def folded(h: Column) -> Column:
-        n = (F.length(h) / 2).cast("int")
-        bytes_ = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(h, i * 2 - 1, F.lit(2)))
-        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(h, i * 2 - 1, F.lit(4)))))
-        start = F.struct(bytes_.alias("parts"), F.coalesce(pairs, F.array().cast("array<int>")).alias("pairs"))
-        ids = F.aggregate(F.slice(F.sequence(F.lit(1), n), F.lit(2), n), start, step)["parts"]
-        return let(rank(h), lambda r: F.when(r != NO_RANK, F.array(r)).otherwise(F.transform(ids, rank)))
+        places = F.sequence(F.lit(1), F.length(h) - 1, F.lit(2))
+        return let(F.transform(places, lambda i: F.element_at(single, F.substring(h, i, F.lit(2)))), start)
 
     return let(F.hex(word), folded)
 
@@ -138,7 +168,7 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def encoded_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, long_word: int) -> tuple[str, int]:
     """Folder and number of sorted hash files with the ids of every distinct word of the texts."""
     def distinct(batch: pa.RecordBatch):
-        cut, split, words, seen = chunker(pattern), splitter(pattern), set(), set()
+        (cut, split), words, seen = chunker(pattern), set(), set()
         for t in batch.column(0).to_pylist():
             seen.update(cut(t or ""))
         for c in seen:
@@ -147,7 +177,7 @@ def encoded_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, long_w
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
 
     words = stage(per_batch(docs, ["text"], distinct, "word string").distinct()
-                  .select("word", fold_merges(F.col("word"), rank_map(ranks)).alias("ids")), "bpe-words")
+                  .select("word", fold_merges(F.col("word"), ranks).alias("ids")), "bpe-words")
     folder, files = shared_folder(docs.sparkSession, "bpe"), files_for(words.count())
 
     def hashed(batch: pa.RecordBatch):
@@ -199,7 +229,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, long_word: int = 64,
                 memo[w] = np.asarray([table.value[b]] if b in table.value else heap_merges(b, table.value), "<u4").tobytes()
 
     def join(batch: pa.RecordBatch):
-        cut, split, memo = chunker(pattern), splitter(pattern), _MEMO.setdefault(folder, {})
+        (cut, split), memo = chunker(pattern), _MEMO.setdefault(folder, {})
         keys, texts = batch.column(0), batch.column(1).to_pylist()
         for lo in range(0, len(texts), 400):
             chunks = [cut(t or "") for t in texts[lo:lo + 400]]
