@@ -14,7 +14,7 @@ from cashlens.sources.treasury import Treasury
 
 def bad_months(t: Treasury) -> DataFrame:
     """Months with negative cash, mostly late payables, or no movement after the first active month."""
-    pay = cm.cm_invoice_outcome(t).where("is_payable").select("company_id", "t_idx", "n_classifiable", "n_bad")
+    pay = cm.monthly(t, "cm_invoice_outcome").where("is_payable").select("company_id", "t_idx", "n_classifiable", "n_bad")
     df = dense(t, ["n_tx", "cash_balance"]).join(pay, ["company_id", "t_idx"], "left")
     first = F.min(F.when(F.col("n_tx") > 0, F.col("t_idx"))).over(W.partitionBy("company_id"))
     bad = (F.coalesce(F.col("cash_balance") < 0, F.lit(False))

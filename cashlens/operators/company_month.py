@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from cashlens.config import NON_OPERATING_IN, NON_OPERATING_OUT, SNAPSHOT_TYPES, month_name
 from cashlens.functions.exprs import count_if, month_idx, sum_if
 from cashlens.operators.star import amount, dim_product, fact_invoice
+from cashlens.sources.staging import staged
 from cashlens.sources.treasury import Treasury
 
 
@@ -19,12 +20,10 @@ def _ts(s):
     return F.lit(s).cast("timestamp")
 
 
-def counterparty_month(t: Treasury, since: int | None = None) -> DataFrame:
-    """In- and outflow per (company, month, counterparty), from month ordinal ``since`` on."""
+def counterparty_month(t: Treasury) -> DataFrame:
+    """In- and outflow per (company, month, counterparty): one collapse for counts, concentration and churn."""
     a = F.col("amount")
     df = t.table("transactions", "company_id", "counterparty_id", "date", "amount")
-    if since is not None:
-        df = df.where(F.col("date") >= _ts(month_name(t.cfg.base + since) + "-01"))
     return (df.where(F.col("counterparty_id").isNotNull() & (F.col("date") < _ts(t.cfg.data_end)))
             .groupBy("company_id", month_idx("date", t.cfg.base).alias("m"), "counterparty_id")
             .agg(sum_if(a > 0, a).alias("inflow"), sum_if(a < 0, -a).alias("outflow")))
@@ -100,7 +99,7 @@ def cm_tx(t: Treasury, cols: list[str] | None = None) -> DataFrame:
         merge.append(sum_if(F.col("is_debt"), F.col("n_tx")).cast("long").alias("n_tx_debt_products"))
     g2 = g1.groupBy("company_id", "t_idx").agg(*(merge or [F.count(F.lit(1)).alias("__n")]))
     if "n_counterparties" in cols:
-        cp = counterparty_month(t).groupBy("company_id", F.col("m").alias("t_idx")).agg(
+        cp = monthly(t, "counterparty_month").groupBy("company_id", F.col("m").alias("t_idx")).agg(
             F.count(F.lit(1)).alias("n_counterparties"))
         g2 = g2.join(cp, ["company_id", "t_idx"], "left")
     final = {"salary_day_mean": F.col("salary_day_sum") / F.nullif(F.col("n_salary"), F.lit(0)),
@@ -235,7 +234,7 @@ def counterparty_windows(t: Treasury) -> DataFrame:
     """Per (company, month, counterparty): flows of the last six months and of the six before."""
     first, last = F.greatest(F.col("m"), F.lit(0)), F.least(F.col("m") + 11, F.lit(t.cfg.n_months - 1))
     cur = F.col("t_idx") - F.col("m") <= 5
-    return (counterparty_month(t, since=-11).where(first <= last)
+    return (monthly(t, "counterparty_month").where((F.col("m") >= -11) & (first <= last))
             .select("*", F.explode(F.sequence(first, last)).alias("t_idx"))
             .groupBy("company_id", "t_idx", "counterparty_id").agg(
         count_if(cur).alias("n_cur"), F.sum(F.when(cur, F.col("inflow"))).alias("inflow"),
@@ -266,6 +265,13 @@ def cm_concentration(t: Treasury) -> DataFrame:
                     F.when(has, F.col("__lost") / F.col("__prev")).alias("cp_in_churn"))
 
 
+def monthly(t: Treasury, name: str) -> DataFrame:
+    """A company-month table (``cm_tx``, ``cm_cash``, …), computed from the facts once and then read by every consumer."""
+    make = {"cm_tx": cm_tx, "cm_cash": cm_cash, "cm_concentration": cm_concentration, "cm_invoice_issued": cm_invoice_issued,
+            "cm_invoice_outcome": cm_invoice_outcome, "counterparty_month": counterparty_month}[name]
+    return staged(t, name, lambda: make(t))
+
+
 def named_months(df: DataFrame, t: Treasury) -> DataFrame:
     """Add the month name ``T`` to a table keyed by ordinal."""
     start = F.lit(t.cfg.first_month + "-01").cast("date")

@@ -43,7 +43,7 @@ def label_components(t: Treasury, gap: int | None = None, outcome: int | None =
     gap = t.cfg.gap_months if gap is None else gap
     outcome = t.cfg.outcome_months if outcome is None else outcome
     after, before = order().rowsBetween(gap + 1, gap + outcome), order().rowsBetween(-5, 0)
-    payable = cm.cm_invoice_outcome(t).where("is_payable").select("company_id", "t_idx", "n_classifiable", "n_bad")
+    payable = cm.monthly(t, "cm_invoice_outcome").where("is_payable").select("company_id", "t_idx", "n_classifiable", "n_bad")
     df = dense(t, ["n_tx", "inflow_oper", "outflow_oper", "cash_balance", "credit_drawn", "credit_granted"])
     df = df.join(payable, ["company_id", "t_idx"], "left")
     util = F.when(F.col("credit_granted") > 0, F.col("credit_drawn") / F.col("credit_granted"))

@@ -117,6 +117,11 @@ def for_trees(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in num})
 
 
+def sized(train: DataFrame, rows: int, per_part: int = 20_000) -> DataFrame:
+    """Partitions by row count: boosting runs several small jobs for each tree, whose cost on few rows is that of their tasks."""
+    return train.repartition(-(-rows // per_part) or 1)
+
+
 def _tree_pipeline(features, classifier):
     num, cats = _parts(features)
     return Pipeline(stages=[*_indexers(cats), VectorAssembler(
@@ -124,7 +129,7 @@ def _tree_pipeline(features, classifier):
 
 
 def fit_boosted(train: DataFrame, features: list[str], mc: ModelConfig) -> PipelineModel:
-    train, _ = weighted(for_trees(train, features))
+    train = sized(*weighted(for_trees(train, features)))
     return _tree_pipeline(features, GBTClassifier(
         weightCol="w", maxIter=mc.iterations, stepSize=mc.step, maxDepth=mc.depth, subsamplingRate=mc.subsample,
         featureSubsetStrategy="0.6", minInstancesPerNode=20, maxBins=64, seed=mc.seed)).fit(train)
@@ -132,7 +137,7 @@ def fit_boosted(train: DataFrame, features: list[str], mc: ModelConfig) -> Pipel
 
 def fit_forest(train: DataFrame, features: list[str], mc: ModelConfig) -> PipelineModel:
     """A second tree model for contrast and averaging."""
-    train, _ = weighted(for_trees(train, features))
+    train = sized(*weighted(for_trees(train, features)))
     return _tree_pipeline(features, RandomForestClassifier(
         weightCol="w", numTrees=2 * mc.iterations, maxDepth=mc.depth + 2, minInstancesPerNode=20, maxBins=64,
         seed=mc.seed)).fit(train)

@@ -376,10 +376,8 @@ def dense(t: Treasury, cols: list[str]) -> DataFrame:
         company = company.join(static_profile(t).select("company_id", *need["static"]), "company_id", "left")
     df = company.withColumn("t_idx", F.explode(F.sequence(F.lit(0), F.lit(t.cfg.n_months - 1))))
     makers = {
-        "tx": lambda cs: cm.cm_tx(t, cs),
-        "cash": lambda cs: cm.cm_cash(t).select("company_id", "t_idx", *cs),
-        "conc": lambda cs: cm.cm_concentration(t).select("company_id", "t_idx", *cs),
-        "issued": lambda cs: cm.cm_invoice_issued(t).select("company_id", "t_idx", *cs),
+        **{source: lambda cs, name=name: cm.monthly(t, name).select("company_id", "t_idx", *cs) for source, name in (
+            ("tx", "cm_tx"), ("cash", "cm_cash"), ("conc", "cm_concentration"), ("issued", "cm_invoice_issued"))},
         "inv": lambda cs: invoice_windows(t, cs),
     }
     for source, make in makers.items():

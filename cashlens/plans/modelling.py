@@ -16,7 +16,7 @@ from cashlens.plans.registry import query
 from cashlens.sources.staging import fresh_path, staged, write_once
 from cashlens.sources.treasury import detect_config
 
-MC = md.ModelConfig(iterations=15, depth=4)
+MC = md.ModelConfig()
 SETS = feature_sets()
 
 
@@ -123,7 +123,8 @@ def _unseen(t):
     return out[0].unionByName(out[1])
 
 
-def sensitivity(t):      # not registered yet: too slow as a single query
+@query("sensitivity")
+def _sensitivity(t):
     """Lift of B over A under other outcome lengths and label percentiles."""
     from dataclasses import replace
     out = []
