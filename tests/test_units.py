@@ -189,3 +189,28 @@ def test_phrases(spark):
 
 def test_block_sizes():
     assert {b: sum(pn.FEATURE_BLOCK[f] == b for f in pn.FEATURES) for b in "ABCDEF"} == dict(A=30, B=37, C=42, D=12, E=10, F=23)
+
+
+def test_no_local_scratch_on_a_cluster(tmp_path, monkeypatch):
+    """Without a shared folder a cluster session gets an error and no folder is made."""
+    import tempfile
+    from types import SimpleNamespace
+
+    from cashlens.sources.staging import scratch
+    monkeypatch.setattr(tempfile, "tempdir", str(tmp_path))
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch(spark)
+    assert not list(tmp_path.iterdir())
+
+
+@pytest.mark.parametrize("last", [16, 12, 9])
+def test_fold_bounds(last):
+    """Training ends an embargo before evaluation; folds don't overlap and end before the holdout."""
+    from cashlens.config import PanelConfig
+    from cashlens.operators.model import temporal_folds
+    cfg = PanelConfig()
+    folds = temporal_folds(cfg, last)
+    months = [m for f in folds for m in f["eval"]]
+    assert folds[-1]["name"] == "holdout" and months == sorted(set(months)) and months[-1] == last
+    assert all(f["eval"][0] - f["train_max"] == cfg.embargo for f in folds) and all(f["train_max"] >= 3 for f in folds[:-1])
