@@ -66,7 +66,7 @@ def encode(df: DataFrame, train: DataFrame, c: str, min_frequency: int = 1) -> D
 
 def class_weight(train: DataFrame) -> tuple[float, float, int]:
     """Balanced weights (negative, positive) and row count: one aggregated row."""
-    n, p = train.agg(F.count(F.lit(1)), F.sum("y")).first()
+    n, p = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     return n / (2.0 * max(n - p, 1)), n / (2.0 * max(p, 1)), n
 
 
