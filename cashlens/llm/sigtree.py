@@ -1,9 +1,10 @@
 """N-gram Jaccard join by signature trees.
 
 Texts of equal shingle sets are one class and are compared once. Two classes can reach the threshold only if they
-share one of the first ``n - ceil(t n) + 1`` shingles of each in any common order (prefix principle); shingles are
-ordered by how often a fixed-size counting sketch of the whole corpus has met their hash, rarest first, so passages
-that many documents share hardly ever decide. Every class sharing a prefix shingle meets the smallest class that has
+share one of the first ``n - ceil(t n) + 1`` shingles of each in any common order (prefix principle). Shingles are
+ordered by their rarest word, as a fixed-size counting sketch of all words of the corpus has it, rarest first: a shingle
+with a rare word is hardly shared by chance however large the corpus, and passages that many documents share come late,
+as all their words are met often. Every class sharing a prefix shingle meets the smallest class that has
 it (its *centre*); all classes that meet at one centre are one group, which so holds every pair that can link there.
 
 A group is searched by a signature tree: leaves are classes in order of size, a node holds the OR of the token bitmaps
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cashlens.llm.common import components, grouped, id_filter, per_batch, stage
 
-SKETCH_BITS, SLICES, WORDS64 = 22, 32, 32                               # counts; rows they travel in; bitmap of 2,048 bits
+SKETCH_BITS, SLICES = 22, 32                                            # counts; rows they travel in
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -70,24 +71,42 @@ def shingles(text: str, size: int) -> np.ndarray:
     return np.unique(h)
 
 
-def slots(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """How many sets have a shingle in each slot: 2^22 counts, whatever the corpus; beyond 65,535 all are alike."""
+def ordered_shingles(text: str, size: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The set of ``shingles`` and the sketch's count of each one's rarest word."""
+    w = word_hashes(text)
+    s = shingles(text, size)
+    if len(w) < size:
+        return s, np.zeros(len(s), np.int64)
+    c = counts[slots(w)].astype(np.int64)
+    rarest = np.min([c[k:len(c) - size + 1 + k] for k in range(size)], axis=0)
+    h = np.zeros(len(w) - size + 1, np.uint64)
+    for k in range(size):
+        h = mix(h * MIX2 + w[k:len(w) - size + 1 + k])
+    out = np.zeros(len(s), np.int64)
+    out[np.searchsorted(s, h)] = rarest                                # equal shingles have equal words
+    return s, out
+
+
+def sketch(docs: DataFrame) -> np.ndarray:
+    """How often words fall into each of 2^22 slots, whatever the corpus; as powers of 1.002, so that 16 bits hold any count."""
     def squeeze(counts: np.ndarray) -> bytes:
-        return pa.compress(np.minimum(counts, 65535).astype(np.uint16).tobytes(), codec="zstd", asbytes=True)
+        return pa.compress(np.asarray(counts, np.int64).tobytes(), codec="zstd", asbytes=True)
 
     def spread(raw: bytes) -> np.ndarray:
-        return np.frombuffer(pa.decompress(raw, (2 << SKETCH_BITS) // SLICES, codec="zstd", asbytes=True), np.uint16).astype(np.int64)
+        return np.frombuffer(pa.decompress(raw, (8 << SKETCH_BITS) // SLICES, codec="zstd", asbytes=True), np.int64)
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int32)
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                at = slots(shingles(t or "", size))
-                total[at] += 1                                         # a slot twice in one set counts once
+            texts = b.column(0).to_pylist()
+            for lo in range(0, len(texts), 500):
+                w = np.concatenate([word_hashes(t or "") for t in texts[lo:lo + 500]])
+                at, n = np.unique(slots(w), return_counts=True)
+                total[at] += n
         task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int64()), pa.array([task // 64] * SLICES, pa.int64()),
                                           pa.array([squeeze(p) for p in np.split(total, SLICES)], pa.binary())],
@@ -101,14 +120,46 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
     got = docs.select("text").mapInArrow(count, form).groupBy("slice", "part").applyInArrow(add, form).groupBy("slice", "part").applyInArrow(add, form)
     out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint16)
     for r in got.collect():                                            # SLICES rows of fixed size
-        out[r["slice"]] = spread(r["counts"])
+        out[r["slice"]] = np.log1p(spread(r["counts"])) / np.log(1.002)
     return out.ravel()
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(WORDS64 * 64, bool)
-    bits[(s & np.uint64(WORDS64 * 64 - 1)).astype(np.int64)] = True
-    return np.packbits(bits).view(np.uint64)
+def size_class(n):
+    """Number of the power of two that holds a set of n: J >= 1/2 only within a class or between neighbours."""
+    return np.ceil(np.log2(np.maximum(n, 16))).astype(np.int64)
+
+
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(bits, bool)
+    out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out).view(np.uint64)
+
+
+def own_bitmap(s: np.ndarray) -> bytes:
+    """Four to eight bits for each member."""
+    return bitmap(s, 4 << int(size_class(len(s)))).tobytes()
+
+
+def halved(maps: np.ndarray) -> np.ndarray:
+    """Bitmaps of half the bits, as the hashes' lower bits would have made them."""
+    n = maps.shape[1] // 2
+    return maps[:, :n] | maps[:, n:]
+
+
+def members_with_partner(ids: np.ndarray, size: np.ndarray, maps: list[bytes], percent: int, centre: int) -> np.ndarray:
+    """Ids for which the bitmaps leave some partner possible, looking at each class of sizes and the next together."""
+    if percent < 50:
+        raise ValueError("percent must be 50 at least")
+    order = np.lexsort((ids, size))
+    kind, found = size_class(size[order]), [np.zeros(0, np.int64)]
+    for c in np.unique(kind):
+        low, high = order[kind == c], order[kind == c + 1]
+        m = np.frombuffer(b"".join([maps[i] for i in low]), np.uint64).reshape(len(low), -1)
+        if len(high):
+            m = np.concatenate([m, halved(np.frombuffer(b"".join([maps[i] for i in high]), np.uint64).reshape(len(high), -1))])
+        at = np.concatenate([low, high])
+        found.append(Tree(ids[at], size[at], m, percent).with_partner(centre))
+    return np.unique(np.concatenate(found))
 
 
 class Tree:
@@ -186,7 +237,10 @@ class Group(Tree):
         size = np.array([len(s) for s in sets])
         order = np.lexsort((ids, size))
         self.sets = [sets[i] for i in order]
-        super().__init__(ids[order], size[order], np.stack([bitmap(s) for s in self.sets]), percent)
+        bits = 4 << int(size_class(size.max()))
+        while bits > 1024 and bits * len(sets) > 1 << 29:               # 64 MB of bitmaps at most
+            bits //= 2
+        super().__init__(ids[order], size[order], np.stack([bitmap(s, bits) for s in self.sets]), percent)
         self.parent = np.arange(len(ids))
 
     def root(self, i: int) -> int:
@@ -253,18 +307,17 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = spark.sparkContext.broadcast(sketch(docs, size))
+    counts = spark.sparkContext.broadcast(sketch(docs))
 
     def profile(batch: pa.RecordBatch):
         n, digest, heads, maps = [], [], [], []
         for t in batch.column(1).to_pylist():
-            s = shingles(t or "", size)
+            s, f = ordered_shingles(t or "", size, counts.value)
             n.append(len(s))
             digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            maps.append(bitmap(s).tobytes() if len(s) else None)
+            maps.append(own_bitmap(s) if len(s) else None)
             k = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
             if k:
-                f = counts.value[slots(s)]
                 if k < len(s):
                     cut = np.partition(f, k - 1)[k - 1]
                     sure = np.flatnonzero(f < cut)
@@ -279,14 +332,23 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     classes = stage(known.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "join-classes")
     reps = known.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     heads = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("heads").alias("h"))
-    met = heads.groupBy("h").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "centre")
-    pairs = stage(heads.join(met, "h").groupBy("centre", "doc_id").agg(F.first("n").alias("n")), "join-pairs")
+    met = stage(heads.groupBy("h").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("last > centre").select("h", "centre"), "join-met")
+    _, shared = id_filter(met, "h", 1 << 27)                            # 16 MB: most prefix shingles have one holder and needn't travel again
+
+    def held(batch: pa.RecordBatch):
+        h = batch.column(2)
+        size = np.diff(h.offsets.to_numpy())
+        keep = np.flatnonzero(shared(batch.column(3).flatten().to_numpy()))
+        row = np.repeat(np.arange(batch.num_rows), size)[keep]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), h.flatten().take(pa.array(keep))],
+                                         names=["doc_id", "n", "h"])
+
+    again = per_batch(reps, ["doc_id", F.col("n_shingles").alias("n"), "heads",
+                             F.transform("heads", lambda x: F.pmod(F.xxhash64(x), F.lit(1 << 27))).alias("p")], held, "doc_id bigint, n bigint, h bigint")
+    pairs = stage(again.join(met, "h").groupBy("centre", "doc_id").agg(F.first("n").alias("n")), "join-pairs")
 
     def partners(group: pa.Table):
-        size = group["n"].to_numpy()
-        order = np.lexsort((group["doc_id"].to_numpy(), size))
-        maps = np.frombuffer(b"".join(group["map"].to_pylist()), np.uint64).reshape(-1, WORDS64)[order]
-        found = Tree(group["doc_id"].to_numpy()[order], size[order], maps, percent).with_partner(group["centre"][0].as_py())
+        found = members_with_partner(group["doc_id"].to_numpy(), group["n"].to_numpy(), group["map"].to_pylist(), percent, group["centre"][0].as_py())
         if len(found):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), group["centre"][0].as_py())), pa.array(found)], names=["centre", "doc_id"])
 
