@@ -330,21 +330,28 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     prof = stage(per_batch(docs, ["doc_id", "text"], profile, "doc_id bigint, n_shingles bigint, digest binary, heads array<bigint>, map binary"), "join-profile")
     known = prof.where("doc_id is not null and digest is not null")
     classes = stage(known.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "join-classes")
-    reps = known.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    heads = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("heads").alias("h"))
-    met = stage(heads.groupBy("h").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("last > centre").select("h", "centre"), "join-met")
-    _, shared = id_filter(met, "h", 1 << 27)                            # 16 MB: most prefix shingles have one holder and needn't travel again
-
-    def held(batch: pa.RecordBatch):
-        h = batch.column(2)
-        size = np.diff(h.offsets.to_numpy())
-        keep = np.flatnonzero(shared(batch.column(3).flatten().to_numpy()))
-        row = np.repeat(np.arange(batch.num_rows), size)[keep]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), h.flatten().take(pa.array(keep))],
-                                         names=["doc_id", "n", "h"])
-
-    again = per_batch(reps, ["doc_id", F.col("n_shingles").alias("n"), "heads",
-                             F.transform("heads", lambda x: F.pmod(F.xxhash64(x), F.lit(1 << 27))).alias("p")], held, "doc_id bigint, n bigint, h bigint")
+    # one member of each class goes on: a bitmap of these ids stands in for a join that would move all profiles; a copy
+    # that slips through is only a further member of its groups
+    _, first = id_filter(classes.select("class_id"), "class_id", 1 << 27)
+    ids = known.select("doc_id", F.col("n_shingles").alias("n"), "heads", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 27)).alias("p"),
+                       F.transform("heads", lambda x: F.pmod(F.xxhash64(x), F.lit(1 << 27))).alias("hp"))
+
+    def prefixes(shared=None):
+        """doc_id, n, h of the classes' prefix shingles, of those that ``shared`` lets pass."""
+        def run(batch: pa.RecordBatch):
+            batch = batch.take(pa.array(np.flatnonzero(first(batch.column(3).to_numpy()))))
+            h = batch.column(2)
+            row, keep = np.repeat(np.arange(batch.num_rows), np.diff(h.offsets.to_numpy())), slice(None)
+            if shared is not None:
+                keep = np.flatnonzero(shared(batch.column(4).flatten().to_numpy()))
+            row = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(h.flatten().to_numpy()[keep])],
+                                             names=["doc_id", "n", "h"])
+        return per_batch(ids, ids.columns, run, "doc_id bigint, n bigint, h bigint")
+
+    met = stage(prefixes().groupBy("h").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("last > centre").select("h", "centre"), "join-met")
+    # most prefix shingles have one holder and needn't travel again
+    again = prefixes(id_filter(met, "h", 1 << 27)[1])
     pairs = stage(again.join(met, "h").groupBy("centre", "doc_id").agg(F.first("n").alias("n")), "join-pairs")
 
     def partners(group: pa.Table):
