@@ -317,6 +317,73 @@ def test_passages_planted(frame, odd):
     assert chaining.passages(frame([])).count() == 0 and chaining.remove_passages(frame([]), chaining.passages(frame([]))).count() == 0
 
 
+@pytest.mark.parametrize("quote,step,edits", [(10, 5, 0), (30, 10, 0), (47, 1, 0), (10, 5, 1)])
+def test_passage_whose_seeds_are_held_earlier_by_others(frame, quote, step, edits):
+    """Two documents share a passage; each of its short runs also stands in some earlier document, none of which holds it."""
+    rng = random.Random(quote)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    rows = []
+    for i, at in enumerate(range(0, 60 - quote + 1, step)):
+        rows.append((i, " ".join([*(word() for _ in range(30)), *passage[at:at + quote], *(word() for _ in range(30))]), None, None))
+    other = list(passage)
+    for at in (26,)[:edits]:
+        other[at] = word()
+    for d, p in ((500, passage), (501, other)):
+        rows.append((d, " ".join([*(word() for _ in range(20 + d % 2)), *p, *(word() for _ in range(20))]), None, None))
+    found = [r for r in chaining.passages(frame(rows)).collect() if (r.doc_id, r.first_doc) == (501, 500)]
+    assert [(r.start, r.first_start, r.length) for r in found] == [(21, 20, 60)], found
+
+
+def test_run_hashes_and_exact_runs():
+    rng = np.random.default_rng(4)
+    w = rng.integers(0, 3, 200).astype(np.uint64)
+    h = chaining.run_hashes(w, np.arange(196), 5)
+    for i, j in rng.integers(0, 196, (500, 2)):
+        assert (h[i] == h[j]) == (w[i:i + 5] == w[j:j + 5]).all()
+    assert len(chaining.run_hashes(w, np.zeros(0, int), 5)) == 0
+    for _ in range(50):
+        x, y = np.unique(rng.integers(0, 60, (int(rng.integers(1, 40)), 2)), axis=0).T
+        got = chaining.exact_runs(x, y, 6)
+        assert set().union(*(range(a, a + n) for a, _, n in got)) == set().union(*(range(a, a + 6) for a in x.tolist()))
+
+
+def test_open_windows_lose_no_repeat():
+    """Every window that two texts share is inside one first holder's span or open in both."""
+    rng = np.random.default_rng(8)
+    n, run, window, k = 48, 20, 10, 5
+    for _ in range(30):
+        base = rng.integers(1, 1 << 60, 160).astype(np.uint64)
+        texts = []
+        for _ in range(8):
+            a = int(rng.integers(0, 100))
+            new = lambda: rng.integers(1, 1 << 60, int(rng.integers(0, 40))).astype(np.uint64)
+            texts.append(np.concatenate([new(), base[a:a + int(rng.integers(20, 100))], new()]))
+        sampled = [[int(p) for p in chaining.minimisers(t, k, window)[1] if p + run <= len(t)] for t in texts]
+        holders = collections.defaultdict(list)
+        for d, t in enumerate(texts):
+            for p in sampled[d]:
+                holders[t[p:p + run].tobytes()].append((d, p))
+        spans, opened = [], []
+        for d, t in enumerate(texts):
+            key = [t[p:p + run].tobytes() for p in sampled[d]]
+            rep = [len({h[0] for h in holders[g]}) > 1 for g in key]
+            at = np.array([p for p, r in zip(sampled[d], rep) if r], int)
+            f = np.array([holders[g][0] for g, r in zip(key, rep) if r], int).reshape(-1, 2)
+            alone = np.array([p for p, r in zip(sampled[d], rep) if not r], int)
+            opened.append(set(chaining.open_windows(at, f[:, 0], f[:, 1], alone, len(t), n, run, window, k).tolist()))
+            spans.append({s for e in set(f[:, 0].tolist()) for x0, _, m in zip(*chaining.merged_runs(at[f[:, 0] == e], f[f[:, 0] == e, 1], run))
+                          if m >= n - 2 * window for s in range(x0 - window, x0 + m - n + window + 1)})
+        where = collections.defaultdict(list)
+        for d, t in enumerate(texts):
+            for s in range(len(t) - n + 1):
+                where[t[s:s + n].tobytes()].append((d, s))
+        for held in where.values():
+            if len({d for d, _ in held}) > 1:
+                assert all(s in opened[d] or s in spans[d] for d, s in held)
+                assert len({s in opened[d] for d, s in held}) == 1 or all(s in spans[d] for d, s in held)
+
+
 def test_chains_brute_force():
     rng = np.random.default_rng(6)
     for _ in range(40):
