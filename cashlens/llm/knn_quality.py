@@ -5,7 +5,7 @@ often words and lines come again. Square roots of term shares, weighted by inver
 the leading singular vectors of the labelled texts, make its latent vector. The labelled vectors are a sample of at
 most ``per_class`` rows of each label, so what is broadcast has a fixed bound: 2 x per_class x dims numbers and the
 4,104 x dims projection. Every document meets all of them in blocks of exact cosines; the ``k`` nearest vote, weighted
-by similarity and by the share of rows that a class has among all labelled ones. One narrow pass, no shuffle of texts.
+by similarity and by the share of keys that a class has among all labelled ones that aren't held out. One narrow pass, no shuffle of texts.
 """
 
 from __future__ import annotations
@@ -62,11 +62,16 @@ def latent(texts: list[str], model: dict) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, per_class: int, folds: int = 4) -> DataFrame:
-    """At most ``per_class`` rows of each label (0, 1), those with the smallest hash of the key: doc_id, text, y."""
-    keys = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), label.cast("int").alias("y"))
+def labelled_keys(labels: DataFrame, label: Column, folds: int = 4) -> DataFrame:
+    """The rows that may be learnt from: each key that isn't held out once, with its label (0, 1): doc_id, y."""
+    return (labels.select(F.col("doc_id").cast("long").alias("doc_id"), label.cast("int").alias("y"))
             .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"), folds))
             .groupBy("doc_id").agg(F.max("y").alias("y")))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, per_class: int, folds: int = 4) -> DataFrame:
+    """At most ``per_class`` rows of each label (0, 1), those with the smallest hash of the key: doc_id, text, y."""
+    keys = labelled_keys(labels, label, folds)
     some = [keys.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
     picked = F.broadcast(some[0].union(some[1]))                       # 2 x per_class small rows at most
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id")
@@ -86,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, dims: int = 4
     if len(set(y.tolist())) < 2:
         return None
     x = np.frombuffer(b"".join(got["f"].to_pylist()), np.float16).reshape(len(y), TERMS)[order].astype(np.float32)
-    share = {r["q"]: r["n"] for r in labels.where("quality in (0, 1)").groupBy(F.col("quality").cast("int").alias("q"))
+    share = {r["y"]: r["n"] for r in labelled_keys(labels, F.col("quality")).groupBy("y")
              .agg(F.count(F.lit(1)).alias("n")).collect()}             # two rows
     idf = np.log((1 + len(y)) / (1 + (x > 0).sum(0))).astype(np.float32) + np.float32(1)
     x *= idf

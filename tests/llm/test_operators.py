@@ -417,6 +417,16 @@ def test_quality_held_out(labelled):
     assert sum((got[r.doc_id] >= 0.7) == (r.quality == 1) for r in held) >= 0.95 * len(held)
 
 
+def test_quality_scores_ignore_held_out_and_repeated_labels(labelled, frame):
+    from pyspark.sql import functions as F
+    docs, labels = labelled
+    docs = docs.unionByName(frame([(5000, "", None, None)]))
+    scores = lambda y: {r.doc_id: r.score for r in knn_quality.score(docs, y, per_class=30, k=5).collect()}
+    want = scores(labels)
+    flip = labels.withColumn("quality", F.when(held_out(F.col("doc_id"), 4), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert scores(flip) == want and scores(labels.union(labels.where("quality = 0"))) == want
+
+
 def test_toxicity_held_out(labelled):
     docs, labels = labelled
     got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
