@@ -17,5 +17,5 @@ def _monitor(t):
     stream = (t.spark.readStream.schema(src).option("pathGlobFilter", "events.parquet").parquet(t.dir)
               .select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value"))
     out, ckpt = fresh_path(t.spark, "daily"), fresh_path(t.spark, "stream")
-    monitor.run(monitor.daily_rollup(stream, "user_id", "ts", "value"), "user_id", out, ckpt)
+    monitor.run(stream, "user_id", "ts", "value", out, ckpt)
     return shape(monitor.monthly(monitor.daily(t.spark, out, "user_id"), "user_id"), SPECS["monitor_stream"])

@@ -1,7 +1,7 @@
 """Incremental monitor: arriving movements become daily partials, merged to months on read.
 
-Every micro-batch writes the days it changed under its batch number, so a repeated batch replaces
-itself, and a day that changes later is superseded by the newer batch.
+Every micro-batch writes partials of its own movements under its batch number, so a repeated batch replaces
+itself; a day's partials of all batches are summed on read. No movement is too late, and no state is kept.
 """
 
 from __future__ import annotations
@@ -12,25 +12,25 @@ from cashlens.config import PanelConfig
 from cashlens.operators.health import add_health
 
 
-def daily_rollup(stream: DataFrame, key: str, ts: str, value: str, watermark: str = "40 days") -> DataFrame:
-    """Per key and day: movements and sum, with bounded state. Later data than the watermark drops out."""
-    return (stream.withWatermark(ts, watermark).groupBy(F.window(ts, "1 day").alias("w"), key)
+def daily_rollup(batch: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+    """Per key and day: movements and sum of one batch."""
+    return (batch.groupBy(F.window(ts, "1 day").alias("w"), key)
             .agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
             .select(key, F.col("w.start").alias("day"), "n", "total"))
 
 
-def run(stream: DataFrame, key: str, out: str, checkpoint: str) -> None:
+def run(stream: DataFrame, key: str, ts: str, value: str, out: str, checkpoint: str) -> None:
     """Process everything available and stop; call again when more files have arrived."""
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
-    q = (stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+        daily_rollup(batch, key, ts, value).withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
 def daily(spark: SparkSession, out: str, key: str) -> DataFrame:
-    """Newest version of every (key, day)."""
-    return spark.read.parquet(out).groupBy(key, "day").agg(F.max_by(F.struct("n", "total"), "epoch").alias("r")).select(key, "day", "r.*")
+    """Every (key, day), over all batches."""
+    return spark.read.parquet(out).groupBy(key, "day").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def monthly(days: DataFrame, key: str) -> DataFrame:

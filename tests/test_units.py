@@ -214,3 +214,22 @@ def test_fold_bounds(last):
     months = [m for f in folds for m in f["eval"]]
     assert folds[-1]["name"] == "holdout" and months == sorted(set(months)) and months[-1] == last
     assert all(f["eval"][0] - f["train_max"] == cfg.embargo for f in folds) and all(f["train_max"] >= 3 for f in folds[:-1])
+
+
+def test_monitor_keeps_late_movements(spark, tmp_path):
+    from cashlens.streaming import monitor
+    src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    schema = "user_id bigint, at string, value double"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src).selectExpr("user_id", "cast(at as timestamp) as ts", "value")
+        monitor.run(stream, "user_id", "ts", "value", out, ckpt)
+        return {(r.user_id, r["T"]): (r.n, r.total, r.active_days)
+                for r in monitor.monthly(monitor.daily(spark, out, "user_id"), "user_id").collect()}
+
+    assert arrive([(1, "2024-01-05 10:00:00", 2.0), (1, "2024-06-01 10:00:00", 1.0)]) == {(1, "2024-01"): (1, 2.0, 1), (1, "2024-06"): (1, 1.0, 1)}
+    # more than 40 days before what has been seen: one on a known day, one on a new one, and one for a new key
+    late = [(1, "2024-01-05 12:00:00", 4.0), (1, "2024-01-09 12:00:00", 8.0), (2, "2023-12-31 12:00:00", 1.0), (1, "2024-06-01 11:00:00", 5.0)]
+    assert arrive(late) == {(1, "2024-01"): (3, 14.0, 2), (1, "2024-06"): (2, 6.0, 1), (2, "2023-12"): (1, 1.0, 1)}
+    assert arrive([(1, "2024-06-02 11:00:00", 1.0)])[(1, "2024-06")] == (3, 7.0, 2)
