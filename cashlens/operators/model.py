@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 from typing import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from cashlens.config import PanelConfig
 from cashlens.functions.exprs import logit
@@ -64,6 +63,16 @@ def encode(df: DataFrame, train: DataFrame, c: str, min_frequency: int = 1) -> D
     return (df.join(seen, c, "left").withColumn(c, F.when(F.col("__seen"), F.col(c)).otherwise(OTHER)).drop("__seen"))
 
 
+def category_levels(train: DataFrame, cats: list[str], min_frequency: int) -> dict[str, list[str]]:
+    """The categories that at least ``min_frequency`` training rows have, most frequent first: what a fit freezes.
+
+    One aggregate for all columns; the model keeps these names, so their number must suit the driver (a category of
+    at least ``min_frequency`` rows each)."""
+    rows = (train.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cats]))).where("v is not null")
+            .groupBy("c", "v").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_frequency).collect()) if cats else []
+    return {c: [r.v for r in sorted((r for r in rows if r.c == c), key=lambda r: (-r.k, r.v))] or [OTHER] for c in cats}
+
+
 def class_weight(train: DataFrame) -> tuple[float, float, int]:
     """Balanced weights (negative, positive) and row count: one aggregated row."""
     n, p = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -89,23 +98,23 @@ def _parts(features):
     return [f for f in features if f not in CATEGORIES], [f for f in features if f in CATEGORIES]
 
 
-def _indexers(cats):
-    return [StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep") for c in cats]
+def _indexers(levels: dict[str, list[str]]):
+    """Frozen categories of each column; rare, unseen and missing ones share the index after the last, in fit and transform."""
+    return [StringIndexerModel.from_labels(known, c, f"{c}__i", handleInvalid="keep") for c, known in levels.items()]
 
 
 def fit_logistic(train: DataFrame, features: list[str], mc: ModelConfig) -> PipelineModel:
-    """Median imputation, standardised numbers, one-hot categories, balanced ridge logistic."""
+    """Median imputation, standardised numbers, one-hot frozen categories, balanced ridge logistic."""
     num, cats = _parts(features)
     num = filled_columns(train, num)
-    for c in cats:
-        train = encode(train, train, c, mc.min_frequency)
+    levels = category_levels(train, cats, mc.min_frequency)
     train, n = weighted(train)
     stages = [Imputer(inputCols=num, outputCols=[f"{c}__m" for c in num], strategy="median"),
               VectorAssembler(inputCols=[f"{c}__m" for c in num], outputCol="__num"),
-              StandardScaler(inputCol="__num", outputCol="__std", withMean=True, withStd=True), *_indexers(cats)]
+              StandardScaler(inputCol="__num", outputCol="__std", withMean=True, withStd=True), *_indexers(levels)]
     if cats:
         stages.append(OneHotEncoder(inputCols=[f"{c}__i" for c in cats], outputCols=[f"{c}__h" for c in cats],
-                                    handleInvalid="keep"))
+                                    handleInvalid="keep", dropLast=False))
     stages += [VectorAssembler(inputCols=["__std", *[f"{c}__h" for c in cats]], outputCol="features"),
                LogisticRegression(weightCol="w", regParam=1.0 / (mc.regularisation * n), standardization=False, maxIter=100)]
     return Pipeline(stages=stages).fit(train)
@@ -122,25 +131,24 @@ def sized(train: DataFrame, rows: int, per_part: int = 20_000) -> DataFrame:
     return train.repartition(-(-rows // per_part) or 1)
 
 
-def _tree_pipeline(features, classifier):
+def _fit_trees(train: DataFrame, features: list[str], mc: ModelConfig, kind, **params) -> PipelineModel:
     num, cats = _parts(features)
-    return Pipeline(stages=[*_indexers(cats), VectorAssembler(
-        inputCols=[*num, *[f"{c}__i" for c in cats]], outputCol="features"), classifier])
+    levels = category_levels(train, cats, mc.min_frequency)
+    train = sized(*weighted(for_trees(train, features)))
+    bins = max([64, *(len(known) + 1 for known in levels.values())])
+    classifier = kind(weightCol="w", minInstancesPerNode=20, maxBins=bins, seed=mc.seed, **params)
+    return Pipeline(stages=[*_indexers(levels), VectorAssembler(
+        inputCols=[*num, *[f"{c}__i" for c in cats]], outputCol="features"), classifier]).fit(train)
 
 
 def fit_boosted(train: DataFrame, features: list[str], mc: ModelConfig) -> PipelineModel:
-    train = sized(*weighted(for_trees(train, features)))
-    return _tree_pipeline(features, GBTClassifier(
-        weightCol="w", maxIter=mc.iterations, stepSize=mc.step, maxDepth=mc.depth, subsamplingRate=mc.subsample,
-        featureSubsetStrategy="0.6", minInstancesPerNode=20, maxBins=64, seed=mc.seed)).fit(train)
+    return _fit_trees(train, features, mc, GBTClassifier, maxIter=mc.iterations, stepSize=mc.step, maxDepth=mc.depth,
+                      subsamplingRate=mc.subsample, featureSubsetStrategy="0.6")
 
 
 def fit_forest(train: DataFrame, features: list[str], mc: ModelConfig) -> PipelineModel:
     """A second tree model for contrast and averaging."""
-    train = sized(*weighted(for_trees(train, features)))
-    return _tree_pipeline(features, RandomForestClassifier(
-        weightCol="w", numTrees=2 * mc.iterations, maxDepth=mc.depth + 2, minInstancesPerNode=20, maxBins=64,
-        seed=mc.seed)).fit(train)
+    return _fit_trees(train, features, mc, RandomForestClassifier, numTrees=2 * mc.iterations, maxDepth=mc.depth + 2)
 
 
 def predict(model: PipelineModel, df: DataFrame, features: list[str], out: str = "p") -> DataFrame:
@@ -163,18 +171,6 @@ def fit_platt(oof: DataFrame, p: str = "p") -> tuple[float, float]:
     return float(m.coefficients[0]), float(m.intercept)
 
 
-# ------------------------------------------------------------------------------------- storage
-def save(model: PipelineModel, path: str, spark, meta: dict) -> None:
-    """Pipeline and its metadata side by side in a versioned folder."""
-    model.write().overwrite().save(f"{path}/pipeline")
-    spark.createDataFrame([(json.dumps(meta),)], "metadata string").coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
-
-
-def load(path: str, spark) -> tuple[PipelineModel, dict]:
-    meta = json.loads(spark.read.json(f"{path}/metadata").first()["metadata"])
-    return PipelineModel.load(f"{path}/pipeline"), meta
-
-
 # --------------------------------------------------------------------------- tree contributions
 def tree_tables(model: PipelineModel) -> list[tuple[float, dict]]:
     """Nodes of every boosted tree as arrays. The size is that of the model, not of the data."""
@@ -200,24 +196,34 @@ def tree_tables(model: PipelineModel) -> list[tuple[float, dict]]:
     return out
 
 
-def contributions(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
-    """Per row and feature: change of the expected margin along the decision paths. Base plus
-    contributions is the model's margin."""
+def contribution_names(features: list[str]) -> list[str]:
+    """Order of a contribution array: numbers first, then categories."""
     num, cats = _parts(features)
-    names = [*num, *cats]
-    trees = df.sparkSession.sparkContext.broadcast(tree_tables(model))
-    prepared = model.transform(for_trees(df, features)).select(
-        "company_id", "t_idx", vector_to_array("features").alias("x"), vector_to_array("rawPrediction")[1].alias("margin"))
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return [*num, *cats]
+
+
+def contribution_arrays(model: PipelineModel, df: DataFrame, features: list[str], *keep: str) -> DataFrame:
+    """Per row one array with each feature's change of the expected margin along the decision paths. Base plus
+    contributions is the model's margin. ``keep``: columns that go along."""
+    names = contribution_names(features)
+    trees = df.sparkSession.sparkContext.broadcast(tree_tables(model))               # the size of the model
+    held = df.withColumns({f"__keep_{c}": F.col(c) for c in keep})                   # the model reads filled columns
+    prepared = model.transform(for_trees(held, features)).select(
+        "company_id", "t_idx", *[F.col(f"__keep_{c}").alias(c) for c in keep], vector_to_array("features").alias("__x"),
+        vector_to_array("rawPrediction")[1].alias("margin"))
+    schema = T.StructType([f for f in prepared.schema.fields if f.name != "__x"]
+                          + T._parse_datatype_string("phi array<double>, base double").fields)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.stack(b["x"].to_numpy()) if len(b) else np.zeros((0, len(names)))
-            phi, base = np.zeros((len(b), len(names))), 0.0
+            if not b.num_rows:
+                continue
+            x = b.column("__x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            phi, base = np.zeros((len(x), len(names))), 0.0
             for weight, t in trees.value:
-                at = np.zeros(len(b), dtype=int)
-                value = np.array(t["value"])
+                at, value = np.zeros(len(x), dtype=int), np.array(t["value"])
                 base += weight * value[0]
-                moving = np.ones(len(b), dtype=bool)
+                moving = np.ones(len(x), dtype=bool)
                 while moving.any():
                     for node in np.unique(at[moving]):
                         rows = np.flatnonzero(moving & (at == node))
@@ -230,11 +236,17 @@ def contributions(model: PipelineModel, df: DataFrame, features: list[str]) -> D
                         nxt = np.where(goes, t["left"][node], t["right"][node])
                         phi[rows, f] += weight * (value[nxt] - value[node])
                         at[rows] = nxt
-            n = len(names)
-            yield pd.DataFrame({"company_id": np.repeat(b["company_id"].to_numpy(), n), "t_idx": np.repeat(b["t_idx"].to_numpy(), n),
-                                "feature": np.tile(np.array(names, dtype=object), len(b)), "phi": phi.ravel(),
-                                "base": base, "margin": np.repeat(b["margin"].to_numpy(), n)})
-    return prepared.mapInPandas(walk, "company_id long, t_idx int, feature string, phi double, base double, margin double")
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(names)), pa.array(phi.ravel()))
+            kept = [n for n in b.schema.names if n != "__x"]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), lists, pa.array(np.full(len(x), base))], names=[*kept, "phi", "base"])
+    return prepared.mapInArrow(walk, schema)
+
+
+def contributions(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
+    """The same with a row for each feature."""
+    named = F.array(*[F.lit(n) for n in contribution_names(features)])
+    return contribution_arrays(model, df, features).select(
+        "company_id", "t_idx", "base", "margin", F.inline(F.arrays_zip(named.alias("feature"), "phi")))
 
 
 ALL_FEATURES = FEATURES + ["size_cohort"]

@@ -444,8 +444,12 @@ def peer_means(df: DataFrame, names: list[str]) -> DataFrame:
     return out.select(*df.columns, *[c.alias(n) for n, c in new.items()])
 
 
-def size_cohort(df: DataFrame) -> DataFrame:
-    """Quartile of the pooled first-come rank of size: edges at 1 + (n-1)q."""
+def size_cohort(df: DataFrame, edges: list[float] | None = None) -> DataFrame:
+    """Quartile of the pooled first-come rank of size: edges at 1 + (n-1)q. With ``edges``, the sizes that bound the
+    quartiles of a training run, a row is placed by them and needs no other row."""
+    if edges:
+        s = F.col("size_outflow_12m")
+        return df.withColumn("size_cohort", F.when(s <= edges[0], "q1").when(s <= edges[1], "q2").when(s <= edges[2], "q3").otherwise("q4"))
     r = row_numbers(df.select("company_id", "t_idx", "size_outflow_12m"),
                     ["size_outflow_12m", "company_id", "t_idx"], "__r")
 
@@ -456,8 +460,9 @@ def size_cohort(df: DataFrame) -> DataFrame:
     return df.join(r.select("company_id", "t_idx", q.alias("size_cohort")), ["company_id", "t_idx"])
 
 
-def panel(t: Treasury, names: list[str] | None = None, keep: list[str] = ()) -> DataFrame:
-    """Feature panel: rows from each company's first active month on, requested features only."""
+def panel(t: Treasury, names: list[str] | None = None, keep: list[str] = (), size_edges: list[float] | None = None) -> DataFrame:
+    """Feature panel: rows from each company's first active month on, requested features only.
+    ``size_edges``: bounds of the size quartiles frozen in a training run."""
     names = list(names if names is not None else FEATURES + ["size_cohort"])
     peers = [n for n in names if n in PEERS]
     want = [n for n in names if n not in PEERS and n not in ("size_cohort", "n_siblings_active")]
@@ -477,7 +482,7 @@ def panel(t: Treasury, names: list[str] | None = None, keep: list[str] = ()) ->
         df = peer_means(df, related)
     df = df.where("in_panel")
     if "size_cohort" in names:
-        df = size_cohort(df)
+        df = size_cohort(df, size_edges)
     defaults = {"country": "UNK", "currency": "UNK", "erp_any": "NONE", "main_bank": "NOBANK"}
     return df.select("company_id", "T", "t_idx", *[
         F.coalesce(c, F.lit(defaults[c])).alias(c) if c in defaults

@@ -34,6 +34,9 @@ WEIGHTS = {
     "months_in_panel": (-0.01, 12.0),
     "group_size": (0.005, 5.0),
     "sib_cash_neg_months_w6": (0.05, 2.4),
+    "cash_conversion_days_w6": (0.004, 45.0),
+    "pay_dpd_mean_w6": (0.012, 12.0),
+    "debt_service_ratio_w6": (0.6, 0.2),
 }
 WEIGHTS_A = {f: WEIGHTS[f] for f in ("cash_months_of_outflow", "credit_util_T", "months_in_panel", "group_size")}
 CALIBRATION = (0.9, -0.1)
@@ -59,6 +62,11 @@ def score(values: dict[str, Column] | None = None) -> Column:
     return F.round(platt(raw_score(values), *CALIBRATION), 6)
 
 
+def card(df: DataFrame, out: str) -> DataFrame:
+    """The scorecard as a score: appends the calibrated probability as ``out``."""
+    return df.withColumn(out, score())
+
+
 def feature_panel(t: Treasury) -> DataFrame:
     """The full feature panel, written once."""
     return staged(t, "panel", lambda: panel(t, FEATURES + ["size_cohort"]).withColumns(

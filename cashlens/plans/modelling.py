@@ -7,14 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from cashlens.functions.exprs import platt
-from cashlens.operators import evaluation as ev, labels as lb, model as md, serve as sv
-from cashlens.operators.health import add_health
+from cashlens.operators import decisions as dc, evaluation as ev, labels as lb, model as md, model_store as ms, predicting as pr, serve as sv
 from cashlens.operators.panel import FEATURE_BLOCK, feature_sets, panel
 from cashlens.operators.scorecard import feature_panel, scored
 from cashlens.plans.projecting import holdout, reserved_rows
 from cashlens.plans.registry import query
 from cashlens.sources.staging import fresh_path, staged, write_once
-from cashlens.sources.treasury import detect_config
+from cashlens.sources.treasury import CompanySubset, detect_config
 
 MC = md.ModelConfig()
 SETS = feature_sets()
@@ -32,27 +31,39 @@ def folds(t):
     return md.temporal_folds(t.cfg, t.cfg.last_label_idx)
 
 
-def holdout_scores(t, fit, sets: dict, mc=MC) -> DataFrame:
+def fitted(t, kind: str, features: str, fold: dict | None, mc=MC):
+    """The model of one kind on one feature set and fold (None: all labelled rows), fitted at most once a session."""
+    memo, key = t.__dict__.setdefault("_fits", {}), (kind, features, fold["name"] if fold else None)
+    if key not in memo:
+        rows = md.split(train_rows(t), fold)[0] if fold else train_rows(t)
+        memo[key] = getattr(md, f"fit_{kind}")(rows, SETS[features], mc)
+    return memo[key]
+
+
+def holdout_scores(t, kind: str, sets: list[str]) -> DataFrame:
     """Holdout metrics of one model kind on several feature sets."""
-    tr, e = md.split(train_rows(t), folds(t)[-1])
-    out = []
-    for name, feats in sets.items():
-        p = md.predict(fit(tr, feats, mc), e.select("company_id", "T", "t_idx", "y", *feats), feats)
+    hold = folds(t)[-1]
+    e, out = md.split(train_rows(t), hold)[1], []
+    for name in sets:
+        feats = SETS[name]
+        p = md.predict(fitted(t, kind, name, hold), e.select("company_id", "T", "t_idx", "y", *feats), feats)
         out.append(ev.metrics(write_once(p.select("company_id", "T", "y", "p"), "pred"), "p").select(F.lit(name).alias("features"), "*"))
     return reduce(DataFrame.unionByName, out)
 
 
 AB = {k: SETS[k] for k in ("A", "B")}
-query("fit_lr")(lambda t: holdout_scores(t, md.fit_logistic, AB))
-query("fit_gbt")(lambda t: holdout_scores(t, md.fit_boosted, AB))
-query("fit_gbt2")(lambda t: holdout_scores(t, md.fit_forest, {"B": SETS["B"]}))
+query("fit_lr")(lambda t: holdout_scores(t, "logistic", ["A", "B"]))
+query("fit_gbt")(lambda t: holdout_scores(t, "boosted", ["A", "B"]))
+query("fit_gbt2")(lambda t: holdout_scores(t, "forest", ["B"]))
 
 
 @query("encode")
 def _encode(t):
-    df = scored(t)
-    return md.encode(df.select("company_id", "T", "country"), df.where((F.col("t_idx") <= 8) & (F.col("company_id") % 3 == 0)),
-                     "country", 25).select("company_id", "T", "country")
+    """Every category of every row, by the levels frozen on the holdout's training rows."""
+    train = md.split(train_rows(t), folds(t)[-1])[0]
+    levels = md.category_levels(train, list(md.CATEGORIES), MC.min_frequency)
+    return scored(t).select("company_id", "T", *[
+        F.when(F.col(c).isin(*known), F.col(c)).otherwise(md.OTHER).alias(c) for c, known in levels.items()])
 
 
 @query("feature_sets")
@@ -70,15 +81,22 @@ def oof(t):
     def build():
         parts = []
         for f in folds(t)[:-1]:
-            tr, e = md.split(train_rows(t), f)
-            e = e.select("company_id", "T", "t_idx", "y", *SETS["B"])
-            a = md.predict(md.fit_boosted(tr, SETS["B"], MC), e, SETS["B"], "p1").select("company_id", "T", "t_idx", "y", "p1")
-            b = md.predict(md.fit_forest(tr, SETS["B"], MC), e, SETS["B"], "p2").select("company_id", "t_idx", "p2")
-            parts.append(a.join(b, ["company_id", "t_idx"]).withColumn("fold", F.lit(f["name"])))
+            e = md.split(train_rows(t), f)[1].select("company_id", "T", "t_idx", "y", *SETS["B"])
+            one = md.predict(fitted(t, "boosted", "B", f), e, SETS["B"], "p1")
+            both = md.predict(fitted(t, "forest", "B", f), one, SETS["B"], "p2")
+            parts.append(both.select("company_id", "T", "t_idx", "y", "p1", "p2").withColumn("fold", F.lit(f["name"])))
         return reduce(DataFrame.unionByName, parts).withColumn("p_avg", md.average("p1", "p2"))
     return staged(t, "oof", build)
 
 
+def choice(t) -> tuple[str, str]:
+    """(main model, its out-of-fold column): the average only if it gains enough in cross-validation (one row)."""
+    memo = t.__dict__.setdefault("_fits", {})
+    if "choice" not in memo:
+        memo["choice"] = ("ensemble_B", "p_avg") if _ensemble(t).first().selected else ("boosted_B", "p1")
+    return memo["choice"]
+
+
 @query("ensemble")
 def _ensemble(t):
     """Mean cross-validated average precision of the single model and of the average, and the choice."""
@@ -90,16 +108,18 @@ def _ensemble(t):
 
 @query("platt_fit")
 def _platt(t):
-    a, b = md.fit_platt(oof(t), "p1")
-    cal = oof(t).withColumn("p_cal", platt("p1", a, b))
-    return cal.agg(F.lit(a).alias("a"), F.lit(b).alias("b"), F.avg(F.pow(F.col("p1") - F.col("y"), 2.0)).alias("brier_raw"),
+    """Calibration of the chosen main model."""
+    p = choice(t)[1]
+    a, b = md.fit_platt(oof(t), p)
+    cal = oof(t).withColumn("p_cal", platt(p, a, b))
+    return cal.agg(F.lit(a).alias("a"), F.lit(b).alias("b"), F.avg(F.pow(F.col(p) - F.col("y"), 2.0)).alias("brier_raw"),
                    F.avg(F.pow(F.col("p_cal") - F.col("y"), 2.0)).alias("brier_calibrated"))
 
 
 @query("ablation")
 def _ablation(t):
     """Holdout change when a block is removed from all, or added to the structural block."""
-    m = holdout_scores(t, md.fit_logistic, SETS).select("features", "auc_pr", "auc_roc")
+    m = holdout_scores(t, "logistic", list(SETS)).select("features", "auc_pr", "auc_roc")
     ref = m.where(F.col("features").isin("A", "B")).select(F.col("features").alias("reference"), F.col("auc_pr").alias("ref_pr"))
     m = m.withColumn("reference", F.when(F.col("features").startswith("A"), "A").otherwise("B"))
     return m.join(ref, "reference").withColumn("delta", F.col("auc_pr") - F.col("ref_pr"))
@@ -140,49 +160,115 @@ def _sensitivity(t):
     return reduce(DataFrame.unionByName, out)
 
 
-def stored(t):
-    """Folder of the stored holdout model (fitted on months with known outcomes only)."""
-    memo = t.__dict__.setdefault("_models", {})
-    if "path" not in memo:
-        path = fresh_path(t.spark, "model")
-        tr, _ = md.split(train_rows(t), folds(t)[-1])
-        a, b = md.fit_platt(oof(t), "p1")
-        md.save(md.fit_boosted(tr, SETS["B"], MC), path, t.spark, {
-            "features": SETS["B"], "platt": [a, b], "train_max": folds(t)[-1]["train_max"], "embargo": t.cfg.embargo,
-            "label": {"gap": t.cfg.gap_months, "outcome": t.cfg.outcome_months, "percentile": t.cfg.label_percentile}})
-        memo["path"] = path
-    return memo["path"]
-
-
-def score_rows(t, df):
-    m, meta = md.load(stored(t), t.spark)
-    p = md.predict(m, df.select("company_id", "T", "t_idx", *meta["features"]), meta["features"], "score_raw")
-    return p.select("company_id", "T", "t_idx", "score_raw", platt("score_raw", *meta["platt"]).alias("score"))
+def size_edges(t) -> list[float]:
+    """Sizes that bound the training run's size quartiles (one aggregated row)."""
+    r = panel(t, ["size_cohort"], ["size_outflow_12m"]).groupBy("size_cohort").agg(F.max("size_outflow_12m").alias("hi")).collect()   # four rows
+    hi = {x.size_cohort: x.hi for x in r}
+    return [hi.get(q, float("-inf")) for q in ("q1", "q2", "q3")]
+
+
+def stored(t) -> str:
+    """Root of the model store: the main model on all labelled rows, the structural model beside it, and the holdout's
+    model that has seen only months with known outcomes then. Two versions: the holdout's, then the final one."""
+    memo = t.__dict__.setdefault("_fits", {})
+    if "root" not in memo:
+        root, hold, (main, p) = fresh_path(t.spark, "models"), folds(t)[-1], choice(t)
+        seen = train_rows(t).agg(F.count(F.lit(1)), F.min("T"), F.max("T")).first()
+        meta = {"features_B": SETS["B"], "features_A": SETS["A"], "platt": md.fit_platt(oof(t), p), "size_edges": size_edges(t),
+                "train_max": hold["train_max"], "embargo": t.cfg.embargo, "n_train_rows": seen[0], "train_months": seen[1:],
+                "label": {"gap": t.cfg.gap_months, "outcome": t.cfg.outcome_months, "percentile": t.cfg.label_percentile}}
+        first = {"boosted_B": fitted(t, "boosted", "B", hold), "boosted_A": fitted(t, "boosted", "A", hold)}
+        ms.promote(t.spark, root, ms.store(t.spark, root, first, {**meta, "main_model": "boosted_B", "rows": "holdout training"}), first=True)
+        final = {"boosted_B": fitted(t, "boosted", "B", None), "boosted_A": fitted(t, "boosted", "A", None)}
+        if main == "ensemble_B":
+            final["forest_B"] = fitted(t, "forest", "B", None)
+        ms.promote(t.spark, root, ms.store(t.spark, root, final, {**meta, "main_model": main, "rows": "all labelled"}))
+        memo["root"] = root
+    return memo["root"]
+
+
+def served(t) -> ms.Artefact:
+    """The current stored version, loaded once a session."""
+    memo = t.__dict__.setdefault("_fits", {})
+    if "served" not in memo:
+        memo["served"] = ms.Artefact.load(t.spark, stored(t))
+    return memo["served"]
 
 
 @query("model_store")
 def _store(t):
-    m, meta = md.load(stored(t), t.spark)
-    return t.spark.read.json(f"{stored(t)}/metadata").select(
-        F.length("metadata").alias("metadata_chars"), F.lit(len(m.stages)).alias("stages"), F.lit(len(meta["features"])).alias("n_features"))
+    """Every stored version as a reader finds it: pointer, models, features; the newest pointer is current."""
+    log, now = ms.pointers(t.spark, stored(t)), ms.current(t.spark, stored(t))
+    rows = [(v, len(a.models), a.meta["main_model"], len(a.meta["features_B"]), len(a.meta["features_A"]), a.meta["rows"], v == now)
+            for v in (r.version for r in log.collect()) for a in [ms.Artefact.load(t.spark, stored(t), v)]]           # a row a version
+    found = t.spark.createDataFrame(rows, "version string, n_models int, main_model string, n_features int, n_features_a int, rows string, is_current boolean")
+    return log.join(found, "version").drop("version")
+
+
+@query("score_batch")
+def _score_batch(t):
+    """The panel scored by the current version: raw, calibrated, and by the structural model."""
+    m, x = served(t), feature_panel(t)
+    both = m.model_a(m.raw(x.select("company_id", "T", "t_idx", *m.meta["features_B"]), "score_raw"), "score_a")
+    return both.select("company_id", "T", "t_idx", "score_raw", F.round(platt("score_raw", *m.meta["platt"]), 6).alias("score"), "score_a")
 
 
-query("score_batch")(lambda t: score_rows(t, feature_panel(t)))
+def unseen(t) -> dict[str, DataFrame]:
+    """The reserved companies as an unseen data set, predicted by the stored model; results written once."""
+    memo = t.__dict__.setdefault("_fits", {})
+    if "unseen" not in memo:
+        ids = write_once(lb.group_holdout(t).select("company_id"), "unseen-ids")
+        probe = CompanySubset(t, ids, t.cfg)
+        cfg = detect_config(probe.table("transactions", "date"), probe.table("balances", "date"))
+        memo["unseen"] = pr.predict(CompanySubset(t, ids, cfg), served(t), cfg)
+    return memo["unseen"]
 
 
 @query("predict_new")
 def _predict(t):
-    """Reserved companies as an unseen data set: detected dates, same panel, stored model, health."""
-    cfg = detect_config(t.table("transactions", "date"), t.table("balances", "date"))
-    p = panel(t, md.ALL_FEATURES).join(lb.group_holdout(t).select("company_id"), "company_id", "left_semi")
-    return add_health(score_rows(t, p), "score", t.cfg).withColumn("detected_last_month", F.lit(cfg.last_month))
+    """The files of a prediction run, read back: one row per company with score, health, reasons and largest change."""
+    out = fresh_path(t.spark, "prediction")
+    pr.write(unseen(t), out)
+    read = lambda n: t.spark.read.option("header", True).option("escape", '"').option("inferSchema", True).csv(f"{out}/{n}")
+    change = read("changes").where("rank = 1").select("company_id", F.col("feature").alias("changed"), F.col("direction").alias("change"))
+    listed = read("explanations").groupBy("company_id").agg(F.count(F.lit(1)).alias("n_explanations"))
+    months = read("predictions").groupBy("company_id").agg(F.count(F.lit(1)).alias("n_months"))
+    summary = t.spark.read.json(f"{out}/summary").select("n_companies", "latest_month", "first_month")                         # a single row
+    return (read("predictions_latest").drop("model_version").join(change, "company_id", "left").join(listed, "company_id").join(months, "company_id")
+            .crossJoin(F.broadcast(summary)))
+
+
+def lever_rows(t):
+    from cashlens.plans.deciding import now, status
+    return now(t), status(t)
+
+
+@query("decisions_fitted")
+def _decisions(t):
+    return dc.decision_order(dc.decisions(*lever_rows(t), served(t)))
+
+
+@query("whatif_fitted")
+def _whatif(t):
+    return dc.whatif_grid(*lever_rows(t), served(t))
+
+
+@query("plan_fitted")
+def _plan(t):
+    base, status = lever_rows(t)
+    return dc.plan_rescore(base, dc.default_targets(status), served(t))
+
+
+@query("scenario_fitted")
+def _scenario(t):
+    return dc.scenario_rescore(lever_rows(t)[0], served(t))
 
 
 @query("contrib_tree")
 def _tree(t):
     """Path contributions of the stored trees on the newest month; base plus sum equals the margin."""
-    m, meta = md.load(stored(t), t.spark)
-    c = md.contributions(m, sv.at_latest(feature_panel(t)), meta["features"])
+    m = served(t)
+    c = md.contributions(m.models["boosted_B"], sv.at_latest(feature_panel(t)), m.meta["features_B"])
     return c.groupBy("company_id", "t_idx").agg(F.sum("phi").alias("total"), F.first("base").alias("base"), F.first("margin").alias("margin"))
 
 

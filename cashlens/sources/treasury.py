@@ -99,6 +99,25 @@ def detect_config(transactions: DataFrame, balances: DataFrame, **kw) -> PanelCo
     return PanelConfig(first_month=r.first_month, last_month=r.last_month, snapshot=r.snapshot_date, **kw)
 
 
+class CompanySubset(Treasury):
+    """Some companies of another treasury as a data set of its own: every table semi-joined, groups reached through the
+    companies and counted anew. A table's columns are still read as asked for."""
+
+    def __init__(self, inner: Treasury, ids: DataFrame, cfg: PanelConfig):
+        super().__init__(inner.spark, cfg)
+        self.inner, self.ids = inner, ids.select("company_id").distinct()
+
+    def table(self, name: str, *cols: str) -> DataFrame:
+        if name == "groups":
+            erp = self.inner.table("groups", "group_id", "erp")
+            out = derive_groups(self.table("companies", "company_id", "group_id")).drop("erp").join(erp, "group_id", "left").select(
+                "group_id", "erp", "n_companies_in_sample")
+            return out.select(*cols) if cols else out
+        df = self.inner.table(name, *dict.fromkeys([*cols, "company_id"])) if cols else self.inner.table(name)
+        out = df.join(self.ids, "company_id", "left_semi")
+        return out.select(*(cols or df.columns))
+
+
 # ------------------------------------------------------------------------- star-schema adapter
 class StarTreasury(Treasury):
     """The test tables seen as treasury data: supplier = company, nation = group,

@@ -1,10 +1,9 @@
 """SQL of metrics, decisions, what-if and text checks."""
 
-from cashlens.operators.scorecard import CALIBRATION, INTERCEPT, WEIGHTS
 from cashlens.plans.deciding import SPECS
 from oracle import shape
 from oracle.base import cte
-from oracle.scored import D, cal, sig
+from oracle.scored import D, INTERCEPT, WEIGHTS, cal, sig
 import oracle.serving  # noqa: F401
 
 SQL = {}
@@ -57,7 +56,7 @@ def variant(metric="metric_id", x="target"):
     out = {}
     for m in METRICS:
         for f, e in overrides(m, x).items():
-            if f in WEIGHTS:
+            if f in WEIGHTS:                       # the card has no other feature
                 out.setdefault(f, []).append(f"WHEN {metric} = '{m}' THEN {e}")
     return {f: f"CASE {' '.join(w)} ELSE {f} END" for f, w in out.items()}
 

@@ -1,6 +1,9 @@
 """SQL for the model-side query that does not depend on a fit."""
 
 import oracle.scored  # noqa: F401
+from oracle.base import cte
 
-SQL = {"encode": """SELECT s.company_id, s.T, CASE WHEN c.country IS NULL THEN '__other__' ELSE s.country END AS country FROM scored1 s
-LEFT JOIN (SELECT country FROM scored1 WHERE t_idx <= 8 AND company_id % 3 = 0 GROUP BY 1 HAVING count(*) >= 25) c ON c.country = s.country"""}
+CATEGORIES = ("country", "currency", "erp_any", "main_bank", "size_cohort")
+cte("enc_train", "SELECT s.* FROM scored1 s JOIN (SELECT company_id, T FROM label_rows WHERE NOT is_reserved AND t_idx <= 8) USING (company_id, T)")
+SQL = {"encode": "SELECT company_id, T, " + ", ".join(
+    f"CASE WHEN {c} IN (SELECT {c} FROM enc_train GROUP BY 1 HAVING count(*) >= 25) THEN {c} ELSE '__other__' END AS {c}" for c in CATEGORIES) + " FROM scored1"}

@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
-from cashlens.operators.scorecard import CALIBRATION, INTERCEPT, WEIGHTS, WEIGHTS_A
 from oracle.base import cte
 import oracle.panel  # noqa: F401  (defines the features CTE first)
 
 W5 = {"late_pay_rate": 0.30, "neg_cash_share": 0.25, "collection_drop": 0.20, "credit_util": 0.10, "inactivity": 0.15}
 D = "::DOUBLE"
+# scorecard: block, weight and mean of each feature
+CARD = {f: (block, float(w), float(mean)) for f, block, w, mean in (line.split() for line in """
+cash_neg_months_w3 C 0.45 1.2
+cash_months_of_outflow A -0.05 1.0
+days_of_cash C -0.001 20.0
+io_ratio_w3 C -0.5 1.1
+inflow_w3_vs_w12 C -0.6 1.0
+pay_open_overdue_share_w3 B 1.4 0.35
+pay_bad_share_w6 B 1.1 0.4
+rec_dpd_mean_w6 B 0.015 20.0
+interest_n_w3 C 0.08 1.0
+credit_util_T A 0.9 0.05
+top1_in_share D 0.8 0.15
+stress_terms_rate_w3 F 0.7 0.25
+months_in_panel A -0.01 12.0
+group_size A 0.005 5.0
+sib_cash_neg_months_w6 E 0.05 2.4
+cash_conversion_days_w6 C 0.004 45.0
+pay_dpd_mean_w6 B 0.012 12.0
+debt_service_ratio_w6 A 0.6 0.2
+""".strip().splitlines())}
+WEIGHTS = {f: (w, mean) for f, (_, w, mean) in CARD.items()}
+WEIGHTS_A = {f: WEIGHTS[f] for f in ("cash_months_of_outflow", "credit_util_T", "months_in_panel", "group_size")}
+INTERCEPT, CALIBRATION = -1.9, (0.9, -0.1)
 
 # ------------------------------------------------------------------------------------- labels
 cte("reserved", """
@@ -102,4 +125,4 @@ def health_ctes(prefix: str, source: str) -> str:
 health_ctes("sc_", "scored1")
 cte("contribs", " UNION ALL ".join(
     f"SELECT company_id, T, t_idx, score, '{f}' AS feature, '{b}' AS block, CAST({f} AS DOUBLE) AS value, round({phi(f)}, 8) AS phi FROM scored1"
-    for f, b in ((f, __import__('cashlens.operators.panel', fromlist=['x']).FEATURE_BLOCK[f]) for f in WEIGHTS)))
+    for f, (b, _, _) in CARD.items()))
