@@ -104,8 +104,8 @@ def test_fan_excludes_own_future(spark):
     assert fan_of(spark, runs, 50, k=5, min_near=1)[6].median > 43      # its own future would give 33
 
 
-@pytest.mark.parametrize("seed,skew", [(1, False), (2, True)])
-def test_neighbours_equal_brute_force(spark, seed, skew):
+@pytest.mark.parametrize("seed,skew,leaf", [(1, False, 4096), (2, True, 4096), (3, False, 60), (4, True, 60)])
+def test_neighbours_equal_brute_force(spark, seed, skew, leaf):
     rnd = random.Random(seed)
     def point(i):
         if skew and i % 3 == 0:
@@ -116,7 +116,7 @@ def test_neighbours_equal_brute_force(spark, seed, skew):
     pool = df.withColumn("delta", F.array(F.lit(0.0)))
     scale = pool.agg(*[F.stddev_pop(d).alias(f"s_{d}") for d in pj.DIMS])
     got = neighbours.nearest(df, pool, scale, pj.DIMS, pj.DIM_WEIGHT, 20, "company_id", 6, ["company_id", "t_idx"],
-                             ["company_id", "t_idx"], []).collect()
+                             ["company_id", "t_idx"], [], leaf).collect()
     s = [scale.first()[f"s_{d}"] for d in pj.DIMS]
     mine = {}
     for r in got:
@@ -126,6 +126,38 @@ def test_neighbours_equal_brute_force(spark, seed, skew):
         assert [d for _, d in sorted(mine[t[:2]])] == pytest.approx(ds, abs=1e-9)
 
 
+def test_tree_leaves_and_buckets_are_even():
+    """No leaf holds much more than its share and no bucket more than its bound, whatever the skew of the states."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 5, (40_000, 4))
+    x[: 8_000, 0] = 0.0                                              # a value that a fifth shares in one dimension
+    x[8_000:12_000] = rng.normal(900, .01, (4_000, 4))               # a far, dense clump
+    tree = neighbours.Tree(x[::4], 40)
+    size = np.bincount(tree.leaf(x), minlength=tree.leaves)
+    assert tree.leaves == 40 and size.min() > 0 and size.max() < 2.5 * len(x) / 40
+    parts = neighbours.buckets(x)
+    assert max(map(len, parts)) <= neighbours.BUCKET and sorted(np.concatenate(parts)) == list(range(len(x)))
+    alike = np.zeros((1000, 4))
+    assert [len(b) for b in neighbours.buckets(alike)] == [1000] and neighbours.Tree(alike, 8).leaves == 1
+
+
+def test_popular_state_spreads(spark):
+    """A state shared by most of the pool and asked by most targets: thinned in the pool, several tasks a leaf."""
+    df = spark.range(3000).selectExpr("id as company_id", "cast(0 as int) as t_idx", "if(id % 10 < 8, 1.0D, id * 1.0D) as level",
+                                      "0.0D as surprise", "0.0D as d1", "0.0D as d3")
+    scale = spark.createDataFrame([(1.0,) * 4], ", ".join(f"s_{d} double" for d in pj.DIMS))
+    n, neighbours.TARGETS_A_TASK = neighbours.TARGETS_A_TASK, 100
+    try:
+        got = neighbours.nearest(df, df, scale, pj.DIMS, [1.0] * 4, 5, "company_id", 1, ["company_id", "t_idx"], ["company_id", "t_idx"], [], 50)
+        rows = got.where("company_id in (7, 8)").orderBy("company_id", "rank").collect()
+        assert got.count() == 15_000
+    finally:
+        neighbours.TARGETS_A_TASK = n
+    assert [r.p_company_id for r in rows if r.company_id == 7] == [0, 1, 2, 3, 4] and all(r.dist == 0 for r in rows if r.company_id == 7)
+    assert {r.p_company_id for r in rows if r.company_id == 8} == {9, 0, 1, 2, 3} and rows[-1].dist == 7
+
+
 def test_ranking_equals_brute_force(spark):
     rnd = random.Random(3)
     vals = [(i, "a" if i % 2 else "b", 0.5 if i % 3 == 0 else round(rnd.random(), 3)) for i in range(600)]
@@ -233,3 +265,32 @@ def test_monitor_keeps_late_movements(spark, tmp_path):
     late = [(1, "2024-01-05 12:00:00", 4.0), (1, "2024-01-09 12:00:00", 8.0), (2, "2023-12-31 12:00:00", 1.0), (1, "2024-06-01 11:00:00", 5.0)]
     assert arrive(late) == {(1, "2024-01"): (3, 14.0, 2), (1, "2024-06"): (2, 6.0, 1), (2, "2023-12"): (1, 1.0, 1)}
     assert arrive([(1, "2024-06-02 11:00:00", 1.0)])[(1, "2024-06")] == (3, 7.0, 2)
+
+
+def test_monitor_derives_alerts_of_touched_keys_only(spark, tmp_path):
+    """Each run re-derives the keys of its batch, over all their months; the others keep their rows; folders stay few."""
+    from cashlens.streaming import monitor
+    src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    schema, seen = "user_id bigint, at string, value double", []
+
+    def derive(months):
+        seen.append({r.user_id for r in months.select("user_id").distinct().collect()})
+        return monitor.activity_alerts(months, "user_id", CFG)
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src).selectExpr("user_id", "cast(at as timestamp) as ts", "value")
+        monitor.run(stream, "user_id", "ts", "value", out, ckpt, derive, fan_out=2)
+        return {(r.user_id, r["T"]): (r.n, r.epoch) for r in monitor.current_alerts(spark, out, "user_id").collect()}
+
+    arrive([(k, f"2024-0{m}-05 10:00:00", 1.0) for k in (1, 2) for m in (1, 2, 3)])
+    got = arrive([(2, "2024-02-07 10:00:00", 1.0), (3, "2024-05-01 10:00:00", 1.0)])
+    assert seen == [{1, 2}, {2, 3}]
+    assert got == {(1, "2024-01"): (1, 0), (1, "2024-02"): (1, 0), (1, "2024-03"): (1, 0), (2, "2024-01"): (1, 1), (2, "2024-02"): (2, 1),
+                   (2, "2024-03"): (1, 1), (3, "2024-05"): (1, 1)}
+    for i in range(2, 9):
+        got = arrive([(3, f"2024-05-0{i} 10:00:00", 2.0)])
+    assert got[(3, "2024-05")] == (8, 8) and got[(1, "2024-01")] == (1, 0) and got[(2, "2024-02")] == (2, 1)
+    assert {r.day.day: r.n for r in monitor.daily(spark, out, "user_id").where("user_id = 3").collect()} == {i: 1 for i in range(1, 9)}
+    for log in (monitor.partials(spark, out, "user_id", 2), monitor.alert_log(spark, out, "user_id", 2)):
+        assert len(log.live()) <= 3 and len(log.folders()) <= 8            # nine batches
