@@ -18,7 +18,6 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from cashlens.llm.common import components, grouped, per_batch, stage
@@ -56,9 +55,19 @@ def _roots() -> np.ndarray:
 ROOTS = _roots()
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(31))).view(np.int64)
+
+
 def cells(x: np.ndarray, tables: int, blocks: int, probes: int, width: float, seed: int) -> np.ndarray:
-    """Cell numbers of unit rows: (rows, tables, 1 + probes); the vector's own cell first."""
+    """Cell numbers of unit rows: (rows, tables, 1 + probes); the vector's own cell first.
+
+    A cell's number is a sum of its (doubled, whole) coordinates times random odd numbers, mixed; a neighbour's is the
+    own sum plus the neighbour's fixed difference."""
     rng = np.random.default_rng(seed)
+    factor = rng.integers(0, 1 << 62, (tables, 8 * blocks), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     out = np.zeros((len(x), tables, 1 + probes), np.int64)
     for t in range(tables):
         y = x @ rng.standard_normal((x.shape[1], 8 * blocks)) / width
@@ -67,17 +76,11 @@ def cells(x: np.ndarray, tables: int, blocks: int, probes: int, width: float, se
         for b in range(blocks):                                        # distance gained by each neighbour of a block
             off = y[:, 8 * b:8 * b + 8] - own[:, 8 * b:8 * b + 8]
             near[:, b] = 2.0 - 2 * off @ ROOTS.T
-        best = np.argsort(near.reshape(len(x), -1), axis=1, kind="stable")[:, :probes]
-        for i in range(len(x)):
-            base = own[i] * 2
-            names = [base]
-            for c in best[i]:
-                p = base.copy()
-                b, r = divmod(int(c), len(ROOTS))
-                p[8 * b:8 * b + 8] += ROOTS[r] * 2
-                names.append(p)
-            for j, p in enumerate(names):
-                out[i, t, j] = np.int64(np.uint64(xxhash.xxh3_64_intdigest(p.astype(np.int16).tobytes(), seed=t)).view(np.int64))
+        best = np.argpartition(near.reshape(len(x), -1), probes - 1, axis=1)[:, :probes]
+        whole = lambda v: np.rint(2 * v).astype(np.int64).astype(np.uint64)                            # noqa: E731
+        step = (whole(ROOTS)[None] * factor[t].reshape(blocks, 1, 8)).sum(2).ravel()
+        base = (whole(own) * factor[t]).sum(1)
+        out[:, t, 0], out[:, t, 1:] = mixed(base), mixed(base[:, None] + step[best])
     return out
 
 
@@ -168,30 +171,46 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, tables: int = 10, bloc
     known = src.where("vec_id is not null and v is not null")
     classes = stage(known.groupBy("v").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "lattice-classes")
 
-    def file(batch: pa.RecordBatch):
+    def place(batch: pa.RecordBatch):
         v, ids, copies = (batch.column(k).to_pylist() for k in range(3))
         for size in sorted(set(map(len, v))):
-            at = [i for i, b in enumerate(v) if len(b) == size]
-            x = np.stack([np.frombuffer(v[i], np.float64) for i in at])
-            c = cells(x, tables, blocks, probes, width, seed + size)
-            rows = []
-            for n, i in enumerate(at):
-                own, probe = c[n, :, 0].tobytes(), np.ascontiguousarray(c[n, :, 1:]).tobytes()
-                for t in range(tables):
-                    for cell in dict.fromkeys(c[n, t].tolist()):
-                        rows.append((size, t, cell, ids[i], copies[i], v[i], own, probe))
-            yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows), (
-                pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
-                names=["dim", "t", "cell", "class_id", "copies", "v", "own", "probe"])
-
-    filed = per_batch(classes, ["v", "class_id", "copies"], file,
-                      "dim bigint, t bigint, cell bigint, class_id bigint, copies bigint, v binary, own binary, probe binary")
+            of_size = [i for i, b in enumerate(v) if len(b) == size]
+            for lo in range(0, len(of_size), 200):
+                at = of_size[lo:lo + 200]
+                c = cells(np.stack([np.frombuffer(v[i], np.float64) for i in at]), tables, blocks, probes, width, seed + size)
+                own, probe = np.ascontiguousarray(c[:, :, 0]), np.ascontiguousarray(c[:, :, 1:])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[i] for i in at], pa.int64()), pa.array([copies[i] for i in at], pa.int64()), pa.array([v[i] for i in at], pa.binary()),
+                     pa.array([r.tobytes() for r in own], pa.binary()), pa.array([r.tobytes() for r in probe], pa.binary())],
+                    names=["class_id", "copies", "v", "own", "probe"])
+
+    placed = stage(per_batch(classes, ["v", "class_id", "copies"], place,
+                             "class_id bigint, copies bigint, v binary, own binary, probe binary"), "lattice-placed")
+
+    def file(batch: pa.RecordBatch):
+        """Numbers only: a vector goes to each of its cells once, marked where the cell is its own."""
+        per = tables * (1 + probes)
+        for lo in range(0, batch.num_rows, 200):
+            b = batch.slice(lo, 200)
+            n = b.num_rows
+            own = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64).reshape(n, tables, 1)
+            cell = np.concatenate([own, np.frombuffer(b"".join(b.column(3).to_pylist()), np.int64).reshape(n, tables, probes)], 2)
+            table = np.broadcast_to(np.arange(tables)[None, :, None], cell.shape).ravel()
+            mine = np.broadcast_to(np.arange(1 + probes) == 0, cell.shape).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), per)), pa.array(table), pa.array(cell.ravel()),
+                                              pa.array(np.repeat(b.column(1).to_numpy(), per)), pa.array(mine.astype(np.int32))],
+                                             names=["dim", "t", "cell", "class_id", "own_cell"])
+
     keys = ["dim", "t", "cell"]
-    filed = stage(filed, "lattice-cells")
-    sizes = filed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / block).cast("int")).drop("n")
-    dealt = (filed.join(sizes, keys).withColumn("side", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int"))
+    filed = stage(per_batch(placed, [F.length("v").cast("long").alias("dim"), "class_id", "own", "probe"], file,
+                            "dim bigint, t bigint, cell bigint, class_id bigint, own_cell int"), "lattice-cells")
+    # cells where two vectors meet, one of them by its own point
+    sizes = (filed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("own_cell").alias("own_cell")).where("n > 1 and own_cell = 1")
+             .select(*keys, F.ceil(F.col("n") / block).cast("int").alias("parts")))
+    dealt = (filed.drop("own_cell").join(sizes, keys).withColumn("side", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
              .withColumn("b1", F.least("side", "other")).withColumn("b2", F.greatest("side", "other")).drop("other", "parts"))
+    dealt = dealt.join(placed, "class_id")
 
     def search(g: pa.Table):
         if g.num_rows < 2:
