@@ -9,6 +9,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cashlens.sources.staging import fresh_path, write_once
@@ -52,13 +53,47 @@ def held_out(key: Column, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds)) == 2, F.lit(False))
 
 
-def per_batch(df: DataFrame, columns: list, fn, schema) -> DataFrame:
-    """``mapInArrow`` over the named columns only. ``fn``: a record batch → any number of record batches."""
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it until no column is called so."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+_MEMOS: dict[str, object] = {}
+_OF_STAGE: dict = {"stage": None, "memos": {}}
+
+
+def memo(name: str, make, whole_stage: bool = False):
+    """What ``make()`` gave, kept for the running task, or for the tasks of its stage that this worker runs.
+
+    ``per_batch`` and ``grouped`` drop a task's memos when its rows end, and a stage's when the worker begins another
+    stage, so that reused workers don't pile them up. Memos are bounded by their owners."""
+    held = _OF_STAGE["memos"] if whole_stage else _MEMOS
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
+def forgetting(batches: Iterator) -> Iterator:
+    """The same rows; memos go at their end, and when the task stops early, and unused memory goes back."""
+    now = TaskContext.get().stageId()
+    if _OF_STAGE["stage"] != now:
+        _OF_STAGE.update(stage=now, memos={})
+    try:
+        yield from batches
+    finally:
+        _MEMOS.clear()
+        pa.default_memory_pool().release_unused()
+
+
+def per_batch(df: DataFrame, columns: list, fn, schema, rows: int = 1 << 30) -> DataFrame:
+    """``mapInArrow`` over the named columns only. ``fn``: a record batch of at most ``rows`` → any number of record batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield from fn(b)
-    return df.select(*columns).mapInArrow(run, schema)
+            for lo in range(0, b.num_rows, rows):
+                yield from fn(b.slice(lo, rows))
+    return df.select(*columns).mapInArrow(lambda batches: forgetting(run(batches)), schema)
 
 
 def with_scores(docs: DataFrame, fn, names: list[str], types: str, carry: bool) -> DataFrame:
@@ -74,9 +109,11 @@ def with_scores(docs: DataFrame, fn, names: list[str], types: str, carry: bool)
     schema = T.StructType([docs.schema[c] for c in out] + T._parse_datatype_string(types).fields)
 
     def run(batch: pa.RecordBatch):
-        got = fn([t or "" for t in batch.column("text").to_pylist()])
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), *map(pa.array, got)], names=[*out, *names])
-    return per_batch(docs, docs.columns, run, schema)
+        for lo in range(0, batch.num_rows, 1024):
+            b = batch.slice(lo, 1024)
+            got = fn([t or "" for t in b.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out), *map(pa.array, got)], names=[*out, *names])
+    return per_batch(docs, [F.col(f"`{c}`") for c in docs.columns], run, schema)
 
 
 def components(spark: SparkSession, links: DataFrame, name: str) -> DataFrame:
@@ -144,7 +181,7 @@ def grouped(df: DataFrame, keys: list[str], order: list[str], fn, schema: str, p
         if held is not None and held.num_rows:
             yield from fn(held)
 
-    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(lambda batches: forgetting(run(batches)), schema)
 
 
 def id_filter(ids: DataFrame, key: str, bits: int = 1 << 25):

@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from cashlens.llm.common import per_batch
+from cashlens.llm.common import memo, per_batch
 
 #: Fixed value: how the tokenizer file splits normalised text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -27,10 +27,10 @@ class WordEncoder:
 
     White space only separates in this vocabulary, so the ids of a text are those of its chunks in order. Chunks of
     Latin letters are split here and only unseen pieces go to the tokenizer, many in one call; any other chunk goes
-    to the tokenizer whole. The memos are emptied when they reach ``room`` entries.
+    to the tokenizer whole. The memos are emptied when they reach ``room`` entries (some 100 MB each).
     """
 
-    def __init__(self, path: str, room: int = 1_500_000):
+    def __init__(self, path: str, room: int = 600_000):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
@@ -92,16 +92,6 @@ class WordEncoder:
         return [b"".join(map(get, t.split())) if ok else self.whole(t) for t, ok in zip(texts, plain)]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    """One per worker process, so that its memo serves every batch and task of the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
-
-
 def binary_cuts(n: int, max_len: int) -> list[int]:
     """Lengths of the pieces of n ids: full sequences first, then the binary digits of the rest, longest first."""
     full, rest = divmod(n, max_len)
@@ -120,7 +110,7 @@ def pack(docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id: int = 2)
 
     def cut(batch: pa.RecordBatch):
         keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-        enc = encoder(tokenizer)
+        enc = memo(tokenizer, lambda: WordEncoder(tokenizer), whole_stage=True)
         for lo in range(0, len(texts), 500):
             rows = []
             for key, ids in zip(keys[lo:lo + 500], enc.encode(texts[lo:lo + 500])):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from cashlens.llm.common import components, grouped, id_filter, per_batch, stage
+from cashlens.llm.common import components, forgetting, grouped, id_filter, memo, per_batch, stage
 
 SKETCH_BITS, SLICES = 22, 32                                            # counts; rows they travel in
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -35,15 +35,12 @@ class WordHash(dict):
     """64-bit hashes of words, remembered."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:                                        # 40 MB
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
 
 
-_HASH = WordHash()
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * MIX1
     return h ^ (h >> np.uint64(29))
@@ -52,7 +49,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def word_hashes(text: str) -> np.ndarray:
     """Hashes of a text's words; bytes lower-case A-Z only and part at ASCII white space only."""
     w = text.encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(_HASH.__getitem__, w), np.uint64, len(w))
+    return np.fromiter(map(memo("word hashes", WordHash).__getitem__, w), np.uint64, len(w))
 
 
 def shingles(text: str, size: int) -> np.ndarray:
@@ -117,7 +114,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
         return pa.table({"slice": [key[0].as_py()], "part": pa.array([0], pa.int64()), "counts": pa.array([squeeze(total)], pa.binary())})
 
     form = "slice bigint, part bigint, counts binary"
-    got = docs.select("text").mapInArrow(count, form).groupBy("slice", "part").applyInArrow(add, form).groupBy("slice", "part").applyInArrow(add, form)
+    got = docs.select("text").mapInArrow(lambda batches: forgetting(count(batches)), form).groupBy("slice", "part").applyInArrow(add, form).groupBy("slice", "part").applyInArrow(add, form)
     out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint16)
     for r in got.collect():                                            # SLICES rows of fixed size
         out[r["slice"]] = np.log1p(spread(r["counts"])) / np.log(1.002)
@@ -327,7 +324,7 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
                                           pa.array(heads, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
                                          names=["doc_id", "n_shingles", "digest", "heads", "map"])
 
-    prof = stage(per_batch(docs, ["doc_id", "text"], profile, "doc_id bigint, n_shingles bigint, digest binary, heads array<bigint>, map binary"), "join-profile")
+    prof = stage(per_batch(docs, ["doc_id", "text"], profile, "doc_id bigint, n_shingles bigint, digest binary, heads array<bigint>, map binary", 500), "join-profile")
     known = prof.where("doc_id is not null and digest is not null")
     classes = stage(known.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "join-classes")
     # one member of each class goes on: a bitmap of these ids stands in for a join that would move all profiles; a copy
@@ -371,7 +368,7 @@ def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array([shingles(t or "", size).tobytes() for t in texts], pa.binary())],
                                          names=["doc_id", "s"])
 
-    needed = per_batch(docs.where("doc_id is not null").withColumn("p", place), ["doc_id", "text", "p"], sets, "doc_id bigint, s binary")
+    needed = per_batch(docs.where("doc_id is not null").withColumn("p", place), ["doc_id", "text", "p"], sets, "doc_id bigint, s binary", 500)
 
     def search(group: pa.Table):
         ids, at = np.unique(group["doc_id"].to_numpy(), return_index=True)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from cashlens.llm.common import held_out, per_batch, stage, with_scores
+from cashlens.llm.common import held_out, memo, per_batch, stage, with_scores
 
 CATEGORIES = ("toxic_junk", "toxic_prose", "toxic")
 WORDS = regex.compile(r"[\p{L}\p{M}]+").findall
@@ -38,7 +38,7 @@ def text_features(text: str) -> set[str]:
 class Presence:
     """Chosen features of a text; remembers the blank-separated chunks that hold none of them."""
 
-    def __init__(self, chosen: dict[str, int], room: int = 1_000_000):
+    def __init__(self, chosen: dict[str, int], room: int = 300_000):
         self.chosen, self.room, self.plain, self.known = chosen, room, set(), {}
 
     def of(self, text: str) -> list[int]:
@@ -188,9 +188,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, max_
     return {"number": number, "models": models, "cut": threshold(oof[:, -1], t, weight, most_false)}
 
 
-_PRESENCE: dict[str, Presence] = {}
-
-
 def score(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean: int = 8000, max_features: int = 4096,
           most_false: float = 0.002, least_z: float = 1.7,
           prefix: str = "", carry: bool = False) -> DataFrame:
@@ -203,15 +200,12 @@ def score(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clean:
     """
     model = fit(docs, labels, max_toxic, max_clean, max_features, most_false, least_z)
     shared = docs.sparkSession.sparkContext.broadcast(model)           # bounded by max_features
-    tag = f"{docs.sparkSession.sparkContext.applicationId}-{shared._jbroadcast.id() if shared._jbroadcast else 0}"
 
     def run(texts: list[str]):
         m, p, cut = shared.value, np.zeros((len(texts), 3)), 2.0
         if m is not None:
-            if tag not in _PRESENCE:
-                _PRESENCE.clear()
-                _PRESENCE[tag] = Presence(m["number"])
-            p, cut = predict_chain([_PRESENCE[tag].of(t) for t in texts], len(m["number"]), m["models"]), m["cut"]
+            presence = memo("presence", lambda: Presence(m["number"]))
+            p, cut = predict_chain([presence.of(t) for t in texts], len(m["number"]), m["models"]), m["cut"]
         return [*(np.ascontiguousarray(p[:, k]) for k in range(3)), (p[:, 2] >= cut).astype(np.int32)]
 
     names = [prefix + c for c in (*CATEGORIES, "predicted")]

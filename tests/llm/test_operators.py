@@ -141,6 +141,21 @@ def test_langid_held_out(spark):
     assert len(r) > 30 and sum(x.lang == x.lang_pred for x in r) >= 0.97 * len(r) and all(0 <= x.score <= 1 for x in r)
 
 
+def test_worker_memos_end_with_the_task(spark):
+    """A reused worker starts empty: what one task remembered is gone in the next, and a stage's memo in the next stage."""
+    from cashlens.llm.common import _MEMOS, _OF_STAGE, memo, per_batch
+    import pyarrow as pa
+
+    def run(batch):
+        seen = len(_MEMOS), len(_OF_STAGE["memos"])
+        memo("a", lambda: bytes(1000))
+        memo("b", dict, whole_stage=True)
+        yield pa.RecordBatch.from_arrays([pa.array([seen[0]]), pa.array([seen[1]])], names=["task", "stage"])
+    for _ in range(2):
+        rows = per_batch(spark.range(16).repartition(16), ["id"], run, "task bigint, stage bigint").collect()
+        assert rows and all(r.task == 0 for r in rows) and any(r.stage == 0 for r in rows)
+
+
 def test_langid_odd_rows(frame, odd):
     rows = odd + [(50, "12 345 !?", "en", None)]
     got = langid.identify(frame(rows)).collect()
@@ -151,6 +166,12 @@ def test_langid_odd_rows(frame, odd):
     assert langid.identify(frame([])).count() == 0
 
 
+def test_langid_needs_a_letter(frame):
+    rows = [(i, f"plain words of one language {i}", "en", "a") for i in range(12)] + [(100, "\u0301\u0302 12 \u0303", "en", "a"), (101, "\u0301a", None, "a")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(frame(rows)).collect()}
+    assert got[100] == ("und", 0.0) and got[101][0] == "en"
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Over the seen characters after every context, probabilities leave just what unseen ones get."""
     words = spark.createDataFrame([("x", w, n) for w, n in (("abba", 3), ("abc", 1), ("cab", 2))], "lang string, word string, n bigint")
