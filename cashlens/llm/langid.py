@@ -25,7 +25,8 @@ from cashlens.llm.common import held_out, per_batch, shared_folder, stage
 from cashlens.llm.hashfile import file_column, files_for, find, save
 
 START, END = "\x02", "\x03"
-WORDS = regex.compile(r"[\p{L}\p{M}]+").findall
+#: runs of letters and marks that hold a letter
+WORDS = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*").findall
 TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
 
 
