@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cashlens.functions.exprs import clean_text, count_if
 from cashlens.sources import schemas
+from cashlens.sources.staging import write_once
 
 
 def profile(raw: DataFrame, name: str) -> DataFrame:
@@ -32,32 +33,37 @@ def profile(raw: DataFrame, name: str) -> DataFrame:
 
 
 def integrity(t) -> DataFrame:
-    """Ten orphan and coverage counts. A NULL key is an orphan of a left join but not of NOT IN."""
-    companies = t.table("companies", "company_id", "group_id")
-    ids = companies.select("company_id")
-    products = t.table("banking_products", "product_id").unionByName(t.table("debt_products", "product_id")).distinct()
-
-    def orphans(name, df, key, ref, count_null=True):
-        d = df if count_null else df.where(F.col(key).isNotNull())
-        return d.join(ref, key, "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
-
-    def keyed(name, key):                      # large facts: collapse to keys before the join
-        return t.table(name, key).groupBy(key).agg(F.count(F.lit(1)).alias("k"))
-
-    def fact_orphans(label, name, key, ref, count_null=True):
-        d = keyed(name, key)
-        d = d if count_null else d.where(F.col(key).isNotNull())
-        return d.join(ref, key, "left_anti").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n")).select(F.lit(label).alias("check"), "n")
+    """Ten orphan and coverage counts. A NULL key is an orphan of a left join but not of NOT IN.
+
+    Each fact is read once and collapsed to its (company, product) pairs. Every table then contributes rows of
+    (space, key, how many rows, whether it defines the key); one aggregate by key has all ten checks."""
+    tx = write_once(t.table("transactions", "company_id", "product_id").groupBy("company_id", "product_id").agg(F.count(F.lit(1)).alias("k")), "dq-pairs")
+    inv = t.table("invoices", "company_id").groupBy("company_id").agg(F.count(F.lit(1)).alias("k"))
+    balances = t.table("balances", "company_id", "product_id").groupBy("company_id", "product_id").agg(F.count(F.lit(1)).alias("k"))
+
+    def rows(df, space, key, what, k=F.lit(1)):
+        return df.select(F.lit(space).alias("space"), F.col(key).cast("string").alias("key"), F.lit(what).alias("what"), k.cast("long").alias("k"))
+    k, company, product = F.col("k"), "company_id", "product_id"
+    bank, debt, companies = t.table("banking_products", company, product), t.table("debt_products", company, product), t.table("companies", company, "group_id")
     parts = [
-        orphans("companies.group_id_orphans", companies, "group_id", t.table("groups", "group_id")),
-        orphans("banking_products.company_orphans", t.table("banking_products", "company_id"), "company_id", ids),
-        orphans("debt_products.company_orphans", t.table("debt_products", "company_id"), "company_id", ids),
-        orphans("balances.company_orphans", t.table("balances", "company_id"), "company_id", ids),
-        orphans("balances.product_orphans", t.table("balances", "product_id"), "product_id", products, False),
-        fact_orphans("transactions.company_orphans", "transactions", "company_id", ids),
-        fact_orphans("transactions.product_orphans", "transactions", "product_id", products, False),
-        fact_orphans("invoices.company_orphans", "invoices", "company_id", ids),
-        orphans("companies.without_transactions", ids, "company_id", keyed("transactions", "company_id").select("company_id"), False),
-        orphans("companies.without_invoices", ids, "company_id", keyed("invoices", "company_id").select("company_id"), False),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+        rows(t.table("groups", "group_id"), "group", "group_id", "known"), rows(companies, "group", "group_id", "companies"),
+        rows(companies, "company", company, "known"), rows(bank, "company", company, "banking_products"), rows(debt, "company", company, "debt_products"),
+        rows(balances, "company", company, "balances", k), rows(tx, "company", company, "transactions", k), rows(inv, "company", company, "invoices", k),
+        rows(bank, "product", product, "known"), rows(debt, "product", product, "known"),
+        rows(balances, "product", product, "balances", k), rows(tx, "product", product, "transactions", k)]
+    kinds = ("companies", "banking_products", "debt_products", "balances", "transactions", "invoices")
+    n = {w: F.sum(F.when(F.col("what") == w, F.col("k")).otherwise(0)).alias(w) for w in ("known", *kinds)}
+    by_key = reduce(DataFrame.unionByName, parts).groupBy("space", "key").agg(*n.values())
+
+    def orphans(space, what, null_counts=True):
+        lost = (F.col("space") == space) & ((F.col("known") == 0) | F.col("key").isNull())
+        return F.when(lost if null_counts else lost & F.col("key").isNotNull(), F.col(what)).otherwise(0)
+
+    def without(what):
+        return F.when((F.col("space") == "company") & F.col("key").isNotNull() & (F.col(what) == 0), F.col("known")).otherwise(0)
+    checks = {"companies.group_id_orphans": orphans("group", "companies"),
+              **{f"{w}.company_orphans": orphans("company", w) for w in ("banking_products", "debt_products", "balances", "transactions", "invoices")},
+              **{f"{w}.product_orphans": orphans("product", w, False) for w in ("balances", "transactions")},
+              **{f"companies.without_{w}": without(w) for w in ("transactions", "invoices")}}
+    one = by_key.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"c{i}") for i, c in enumerate(checks.values())])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(name).alias("check"), F.col(f"c{i}").alias("n")) for i, name in enumerate(checks)])))

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cashlens.functions.exprs import country_norm, last_n
 from cashlens.operators import company_month as cm, panel as pn, providers as pv, quality, serve as sv, star
 from cashlens.operators.labels import group_holdout, labels
 from cashlens.operators.scorecard import contributions, scored
-from cashlens.plans.registry import query, shape
+from cashlens.plans.registry import QUERIES, query, shape
 from cashlens.sources import schemas, sinks, treasury as tr
-from cashlens.sources.staging import fresh_path
+from cashlens.sources.staging import fresh_path, write_once
 
 PANEL = "company_id T"
 SPECS = {
     "src_grid": "t_idx:i T T_start T_next T_end", "src_optional": "group_id n_companies_in_sample:i",
     "src_detect_range": "first_month last_month data_start data_end snapshot_date",
-    "src_products": "bank_name service type n:i granted:2 outstanding:2", "src_typed": "supp_key name nation:i balance:2",
+    "src_products": "bank_name service type n:i granted:2 outstanding:2", "src_typed": "table column n:i total:2",
     "src_csv": "product_id company_id type bank_name created_at", "src_parquet": "year_month n:i amount:2",
-    "country_norm": "code n:i", "dq_profile": "column n_rows:i nulls:i failed:i min max out:i", "dq_integrity": "check n:i",
+    "country_norm": "code n:i", "dq_profile": "table column n_rows:i nulls:i failed:i min max out:i", "dq_integrity": "check n:i",
     "dim_company": "company_id group_id country currency erp_any group_size:i", "dim_product": "product_id company_id type bank_name granted:2 is_debt is_cash",
     "fact_tx": "transaction_id company_id product_id amount:2 category product_type bank_name is_cash is_debt",
     "fact_invoice": "company_id issuance_date due_date amount:2 is_payable paid_date", "dim_bank": "bank_name n_products:i n_companies:i",
@@ -35,7 +37,7 @@ SPECS = {
     "roll": f"{PANEL} s3:2 m6:4 sd6:2 lo3:2 hi12:2", "lag_k": f"{PANEL} lag3:2 d3:2", "roll_slope": f"{PANEL} inflow_trend6:6 io_ratio_trend6:6",
     "cum_flag": f"{PANEL} has_invoices:i", "ffill_gap": f"{PANEL} months_since_last_invoice:i", "qcut4": f"{PANEL} size_cohort",
     "outcome_window": f"{PANEL} neg_cash_share:6 inactivity:6 credit_util:8", "sink_fact": "year_month n:i amount:2",
-    "sink_cm": "company_id T n_tx:i", "sink_served": "company_id T score:6", "sink_csv": "company_id T health_smooth:4 health_band", "sink_json": "company_id n_series:i score:1",
+    "sink_cm": "table n:i total:2", "sink_served": "table n:i total:4", "sink_csv": "company_id T health_smooth:4 health_band", "sink_json": "company_id n_series:i score:1",
     "fingerprint": "table n_rows:i hash_sum hash_xor", "company_profile": "company_id document", "company_score": "company_id document",
     "digest_company": "company_id document", "digest_portfolio": "document", "model_report": "document", "union_holdout_last": "feature mean_abs:6",
 }
@@ -55,19 +57,38 @@ q("src_products")(lambda t: pv.products(t).groupBy("bank_name", "service", "type
     F.count(F.lit(1)).alias("n"), F.sum("granted").alias("granted"), F.sum("outstanding").alias("outstanding")))
 
 
-def raw_suppliers(t):
-    """Suppliers as untrimmed text, some balances unreadable."""
-    k = F.col("s_suppkey")
-    bal = F.when(k % 10 == 3, "bad").when(k % 10 == 4, "  ").otherwise(F.concat(F.lit(" "), F.col("s_acctbal").cast("string")))
-    when = F.when(k % 8 == 0, "not a date").otherwise(F.concat((F.lit(2020) + k % 12).cast("string"), F.lit("-03-05 00:00:00")))
-    return t.source("supplier").select(
-        F.concat(k.cast("string"), F.lit(" ")).alias("product_id"), F.concat(F.lit(" "), F.col("s_name")).alias("company_id"),
-        F.col("s_nationkey").cast("string").alias("type"), bal.alias("granted"), when.alias("created_at"))
+#: Columns of the eight tables that the test data fill.
+RAW = {name: cols.split() for name, cols in {
+    "groups": "group_id erp n_companies_in_sample", "companies": "company_id group_id country currency erp created_at",
+    "banking_products": "product_id company_id type bank_name service", "debt_products": "product_id company_id type bank_name service granted outstanding",
+    "debt_schedule_config": "product_id company_id granted_balance total_periods interest_type", "balances": "product_id company_id date balance",
+    "transactions": "transaction_id company_id product_id date amount status accounting_status category description counterparty_id",
+    "invoices": "company_id issuance_date due_date payment_date amount status concept counterparty_id"}.items()}
+
+
+def raw_text(t, name):
+    """A table as untrimmed text, as a file would have it; typed values of some companies unreadable or blank."""
+    k = F.col("company_id") % 10 if name != "groups" else F.lit(0)
+    return t.table(name, *RAW[name]).select(*[
+        F.concat(F.col(c).cast("string"), F.lit(" ")).alias(c) if schemas.type_of(name, c) == "string"
+        else F.when(k == 3, "bad").when(k == 4, "  ").otherwise(F.concat(F.lit(" "), F.col(c).cast("string"))).alias(c) for c in RAW[name]])
+
+
+@q("src_typed")
+def _typed(t):
+    """All eight tables read from text: values of each column that were readable, and the sum of numbers."""
+    out = []
+    for name in schemas.TABLES:
+        df = tr.typed(raw_text(t, name), name)
+        number = {c for c in df.columns if schemas.type_of(name, c) in ("double", "int")}
+        one = df.agg(*[F.count(c).alias(f"n_{c}") for c in df.columns], *[F.sum(c).alias(f"s_{c}") for c in number])
+        out.append(one.select(F.lit(name).alias("table"), F.inline(F.array(*[F.struct(
+            F.lit(c).alias("column"), F.col(f"n_{c}").alias("n"), (F.col(f"s_{c}") if c in number else F.lit(None)).cast("double").alias("total")) for c in df.columns]))))
+    return reduce(DataFrame.unionByName, out)
 
 
-q("src_typed")(lambda t: tr.typed(raw_suppliers(t), "debt_products").select(
-    F.col("product_id").alias("supp_key"), F.col("company_id").alias("name"), F.col("type").alias("nation"), F.col("granted").alias("balance")))
-q("dq_profile")(lambda t: quality.profile(raw_suppliers(t), "debt_products"))
+q("dq_profile")(lambda t: reduce(DataFrame.unionByName, [
+    quality.profile(raw_text(t, n), n).select(F.lit(n).alias("table"), "*") for n in schemas.TABLES]))
 q("dq_integrity")(quality.integrity)
 q("j_anti_orphans")(quality.integrity)
 
@@ -145,18 +166,35 @@ q("qcut4")(lambda t: pn.panel(t, ["size_cohort"]))
 q("outcome_window")(labels)
 
 
+def written(t, tables: dict, write, columns) -> DataFrame:
+    """Every table written and read back: rows and filled values of a column of each."""
+    out = []
+    for name, df in tables.items():
+        path, c = fresh_path(t.spark, name), columns[name]
+        write(df, path)
+        out.append(t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(c).cast("double")).alias("total")).select(
+            F.lit(name).alias("table"), "n", "total"))
+    return reduce(DataFrame.unionByName, out)
+
+
+MONTHLY = {"cm_tx": "n_tx", "cm_cash": "cash_balance", "cm_invoice_lag": "n", "cm_invoice_issued": "n_inv_issued", "cm_invoice_outcome": "n_classifiable",
+           "cm_concentration": "inflow_res"}
+DIMENSIONS = {"dim_company": "company_id", "dim_product": "product_id", "dim_bank": "n_products", "dim_counterparty": "n_tx"}
+SERVED = {"risk_score": "score", "company_master": "company_id", "company_kpi": "company_id", "alerts": "company_id", "benchmark": "p50",
+          "portfolio_history": "risk", "contrib_local": "rank", "provider_rollup": "products", "change_rank": "company_id"}
+
+
 @q("sink_cm")
 def _sink_cm(t):
-    path = fresh_path(t.spark, "cm_tx")
-    sinks.write_monthly(cm.named_months(cm.cm_tx(t, ["n_tx"]), t), path)
-    return tr.read_parquet(t.spark, path)
+    """Six monthly tables by month and four dimensions."""
+    monthly = written(t, {n: cm.named_months(QUERIES[n](t.spark, t.dir), t) for n in MONTHLY}, sinks.write_monthly, MONTHLY)
+    return monthly.unionByName(written(t, {n: getattr(star, n)(t) for n in DIMENSIONS}, sinks.write_served, DIMENSIONS))
 
 
 @q("sink_served")
 def _sink_served(t):
-    path = fresh_path(t.spark, "risk_score")
-    sinks.write_served(sv.risk(t).select("company_id", "T", "score"), path)
-    return t.spark.read.parquet(path)
+    """The nine served tables, spread and sorted by company."""
+    return written(t, {n: QUERIES[n](t.spark, t.dir) for n in SERVED}, sinks.write_served, SERVED)
 
 
 @q("sink_csv")
@@ -183,8 +221,13 @@ def _sink_json(t):
 
 @q("fingerprint")
 def _fingerprint(t):
-    a = sinks.fingerprint(t.source("supplier")).withColumn("table", F.lit("supplier"))
-    return a.unionByName(sinks.fingerprint(t.source("orders")).withColumn("table", F.lit("orders")))
+    """All eight tables, and one hash over theirs in fixed order."""
+    each = reduce(DataFrame.unionByName, [sinks.fingerprint(t.table(n)).select(F.lit(n).alias("table"), "*") for n in schemas.TABLES])
+    each = write_once(each, "fingerprint")                                                     # eight rows
+    lines = F.array_sort(F.collect_list(F.concat_ws(":", "table", "n_rows", "hash_sum", "hash_xor")))
+    whole = each.agg(F.sum("n_rows").alias("n_rows"), F.sha2(F.array_join(lines, "\n"), 256).alias("hash_sum")).select(
+        F.lit("all").alias("table"), "n_rows", "hash_sum", F.lit(None).cast("string").alias("hash_xor"))
+    return each.unionByName(whole)
 
 
 def _docs(df, *cols):

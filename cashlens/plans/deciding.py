@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cashlens.operators import decisions as dc, explain as ex, narrative as nv, serve as sv
+from cashlens.operators.panel import CATEGORICAL, FEATURES, NUMERIC
 from cashlens.operators.scorecard import contributions, scored
 from cashlens.plans.registry import query, shape
 from cashlens.sources.staging import staged
@@ -20,7 +21,7 @@ SPECS = {
     "plan_rescore": "company_id metric_id current:6 target:3 marginal:4 base_health:4 plan_health:4",
     "plan_additive": "company_id score_delta:1 plan_health:1", "plan_ceiling": "company_id plan_health:1 margin:1 ceiling:1",
     "scenario_rescore": "company_id scenario before:4 after:4", "j_scenario": "company_id scenario feature new_value:6",
-    "feature_frame": "company_id io_ratio_w3:6 hhi_in:6 country", "except_features": "company_id unknown",
+    "feature_frame": "company_id " + " ".join(f"{f}:6" for f in NUMERIC) + " country currency erp_any main_bank size_cohort", "except_features": "company_id unknown",
     "number_grounding": "doc_id n_numbers:i is_grounded", "insight_validate": "company_id n_insights:i first_title",
 }
 
@@ -70,12 +71,13 @@ q("j_scenario")(lambda t: dc.scenario_vectors(now(t)))
 
 
 def payloads(t):
-    """Feature payloads as text maps, with one bad number and one unknown key."""
-    return now(t).select("company_id", F.create_map(
-        F.lit("io_ratio_w3"), F.col("io_ratio_w3").cast("string"),
-        F.lit("hhi_in"), F.when(F.col("company_id") % 4 == 0, "n/a").otherwise(F.col("hhi_in").cast("string")),
-        F.lit("country"), F.when(F.col("country") != "UNK", F.col("country")),
-        F.when(F.col("company_id") % 3 == 0, "zz_extra").otherwise("currency"), F.lit("EUR")).alias("payload"))
+    """Feature payloads as text maps: every feature, one bad number, missing categories, one unknown key."""
+    texts = {f: F.col(f).cast("string") for f in (*NUMERIC, *CATEGORICAL)}
+    texts["hhi_in"] = F.when(F.col("company_id") % 4 == 0, "n/a").otherwise(texts["hhi_in"])
+    texts["country"] = F.when(F.col("country") != "UNK", F.col("country"))
+    known = F.map_from_arrays(F.array(*[F.lit(f) for f in texts]), F.array(*texts.values()))
+    return now(t).select("company_id", F.map_concat(known, F.when(F.col("company_id") % 3 == 0, F.create_map(F.lit("zz_extra"), F.lit("EUR")))
+                                                    .otherwise(F.expr("cast(map() as map<string,string>)"))).alias("payload"))
 
 
 def frame(df, numeric, categorical):
@@ -84,13 +86,12 @@ def frame(df, numeric, categorical):
                      *[F.coalesce(F.col("payload")[f], F.lit("UNK")).alias(f) for f in categorical])
 
 
-q("feature_frame")(lambda t: frame(payloads(t), ["io_ratio_w3", "hhi_in"], ["country"]))
+q("feature_frame")(lambda t: frame(payloads(t), NUMERIC, CATEGORICAL))
 
 
 @q("except_features")
 def _unknown(t):
-    from cashlens.operators.panel import FEATURES
-    known = F.array(*[F.lit(f) for f in FEATURES])
+    known = F.array(*[F.lit(f) for f in (*FEATURES, "size_cohort")])
     return payloads(t).select("company_id", F.array_join(F.array_sort(F.array_except(F.map_keys("payload"), known)), ",").alias("unknown"))
 
 
@@ -105,7 +106,7 @@ def _grounding(t):
 
 @q("insight_validate")
 def _insights(t):
-    """Insights drafted from the newest explanations, checked against the first five of them."""
+    """Insights drafted from the newest explanations, checked against all of their texts."""
     e = sv.at_latest(sv.explanations(t))
     kind = F.when(F.col("phi") > 0, "risk").when(F.col("rank") % 5 == 0, "praise").otherwise("opportunity")
     sev = F.when(F.abs("phi") > 0.3, "alert").otherwise("watch")
@@ -113,7 +114,7 @@ def _insights(t):
                    F.col("direction").alias("explanation"), F.array("text").alias("evidence"))
     g = e.groupBy("company_id").agg(
         F.array_sort(F.collect_list(one)).alias("insights"),           # at most eight per company
-        F.concat_ws(" ", F.collect_list(F.when(F.col("rank") <= 5, F.col("text")))).alias("digest"))
+        F.concat_ws(" ", F.collect_list("text")).alias("digest"))
     ok = g.withColumn("ok", nv.valid_insights(F.col("insights"), nv.known_values(F.col("digest"))))
     return ok.where(F.col("ok").isNotNull()).select("company_id", F.size("ok").alias("n_insights"),
                                                     F.element_at("ok", 1)["title"].alias("first_title"))

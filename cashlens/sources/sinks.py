@@ -18,9 +18,9 @@ def write_fact(df: DataFrame, name: str, path: str) -> None:
 
 
 def write_monthly(df: DataFrame, path: str) -> None:
-    """Company-month table, one folder per month."""
+    """Company-month table, one folder per month. Written again, only the months that ``df`` holds are replaced."""
     (df.repartition(F.col("T"), F.pmod(F.xxhash64("company_id"), F.lit(16))).write.mode("overwrite").partitionBy("T")
-     .option("compression", "zstd").parquet(path))
+     .option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(path))
 
 
 def write_served(df: DataFrame, path: str) -> None:
@@ -30,9 +30,11 @@ def write_served(df: DataFrame, path: str) -> None:
         "compression", "zstd").parquet(path)
 
 
-def save_bucketed(df: DataFrame, table: str, buckets: int = 64) -> None:
-    """The same as a catalog table bucketed by company, for joins without a shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, "company_id").sortBy("company_id").saveAsTable(table)
+def save_bucketed(df: DataFrame, table: str, path: str, buckets: int = 64) -> None:
+    """The same as a catalog table under ``path``, bucketed and sorted by company: two of them join without a shuffle.
+    Rows are dealt to the buckets first, so that each bucket is one file."""
+    (df.repartition(buckets, "company_id").write.mode("overwrite").option("path", path).option("compression", "zstd")
+     .bucketBy(buckets, "company_id").sortBy("company_id").saveAsTable(table))
 
 
 def four_decimals(df: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from cashlens.plans.basics import SPECS
 from oracle import shape
 from oracle.base import cte
-import oracle.serving  # noqa: F401
+from oracle import core, serving
 import oracle.projecting  # noqa: F401
 
 SQL = {}
@@ -20,23 +20,44 @@ S("src_detect_range", """(SELECT strftime(lo, '%Y-%m') AS first_month, strftime(
   SELECT *, CASE WHEN day(d) < 28 THEN date_trunc('month', d) - INTERVAL 1 MONTH ELSE date_trunc('month', d) END AS last_ FROM (
   SELECT *, least(snap, date_trunc('day', hi)) AS d FROM (SELECT min(date) AS lo, max(date) AS hi FROM transactions), (SELECT max(date) AS snap FROM balances))))""")
 S("src_products", "(SELECT bank_name, service, type, count(*) AS n, sum(granted) AS granted, sum(outstanding) AS outstanding FROM prods GROUP BY 1, 2, 3)")
-cte("raw_sup", """SELECT CAST(s_suppkey AS VARCHAR) || ' ' AS product_id, ' ' || s_name AS company_id, CAST(s_nationkey AS VARCHAR) AS type,
-  CASE WHEN s_suppkey % 10 = 3 THEN 'bad' WHEN s_suppkey % 10 = 4 THEN '  ' ELSE ' ' || CAST(s_acctbal AS VARCHAR) END AS granted,
-  CASE WHEN s_suppkey % 8 = 0 THEN 'not a date' ELSE CAST(2020 + s_suppkey % 12 AS VARCHAR) || '-03-05 00:00:00' END AS created_at FROM supplier""")
-S("src_typed", "(SELECT trim(product_id) AS supp_key, trim(company_id) AS name, type AS nation, TRY_CAST(nullif(trim(granted), '') AS DOUBLE) AS balance FROM raw_sup)")
+TEXT, NUM, WHEN = None, "DOUBLE", "TIMESTAMP"
+RAW = {                                            # columns of each table and what they are read as
+    "groups": dict(group_id=TEXT, erp=TEXT, n_companies_in_sample="INTEGER"),
+    "companies": dict(company_id=TEXT, group_id=TEXT, country=TEXT, currency=TEXT, erp=TEXT, created_at=WHEN),
+    "banking_products": dict(product_id=TEXT, company_id=TEXT, type=TEXT, bank_name=TEXT, service=TEXT),
+    "debt_products": dict(product_id=TEXT, company_id=TEXT, type=TEXT, bank_name=TEXT, service=TEXT, granted=NUM, outstanding=NUM),
+    "debt_schedule_config": dict(product_id=TEXT, company_id=TEXT, granted_balance=NUM, total_periods="INTEGER", interest_type=TEXT),
+    "balances": dict(product_id=TEXT, company_id=TEXT, date=WHEN, balance=NUM),
+    "transactions": dict(transaction_id=TEXT, company_id=TEXT, product_id=TEXT, date=WHEN, amount=NUM, status=TEXT, accounting_status=TEXT, category=TEXT,
+                         description=TEXT, counterparty_id=TEXT),
+    "invoices": dict(company_id=TEXT, issuance_date=WHEN, due_date=WHEN, payment_date=WHEN, amount=NUM, status=TEXT, concept=TEXT, counterparty_id=TEXT)}
 
 
-def prof(c, t=None):
-    txt = f"nullif(trim({c}), '')"
+def raw(table, c, t):
+    if t is None:
+        return f"nullif(trim({c}::VARCHAR || ' '), '')"
+    if table == "groups":
+        return f"nullif(trim({c}::VARCHAR), '')"
+    return f"nullif(trim(CASE company_id % 10 WHEN 3 THEN 'bad' WHEN 4 THEN '  ' ELSE {c}::VARCHAR END), '')"
+
+
+def prof(table, c, t):
+    txt = raw(table, c, t)
     val = f"TRY_CAST({txt} AS {t})" if t else txt
     rng = (f"strftime(min({val}), '%Y-%m-%d %H:%M:%S'), strftime(max({val}), '%Y-%m-%d %H:%M:%S'), count(*) FILTER ({val} < TIMESTAMP '2023-01-01' OR {val} > TIMESTAMP '2028-12-31')"
-           if t == "TIMESTAMP" else "CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), NULL")
-    return f"SELECT '{c}', count(*), count(*) FILTER ({val} IS NULL), count(*) FILTER ({txt} IS NOT NULL AND {val} IS NULL), {rng} FROM raw_sup"
+           if t == WHEN else "CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), NULL")
+    return (f"SELECT '{table}', '{c}', count(*), count(*) FILTER ({val} IS NULL), count(*) FILTER ({txt} IS NOT NULL AND {val} IS NULL), {rng} "
+            f"FROM {table.replace('_config', '')}")
+
+
+def read(table, c, t):
+    val = f"TRY_CAST({raw(table, c, t)} AS {t})" if t else raw(table, c, t)
+    return f"SELECT '{table}', '{c}', count({val}), " + (f"sum({val})" if t in (NUM, "INTEGER") else "NULL") + f" FROM {table.replace('_config', '')}"
 
 
-S("dq_profile", "(SELECT * FROM (" + " UNION ALL ".join(
-    prof(c, t) for c, t in (("product_id", None), ("company_id", None), ("type", None), ("granted", "DOUBLE"), ("created_at", "TIMESTAMP")))
-  + ') v("column", n_rows, nulls, failed, min, max, "out"))')
+S("dq_profile", "(SELECT * FROM (" + " UNION ALL ".join(prof(n, c, t) for n, cs in RAW.items() for c, t in cs.items())
+  + ') v("table", "column", n_rows, nulls, failed, min, max, "out"))')
+S("src_typed", "(SELECT * FROM (" + " UNION ALL ".join(read(n, c, t) for n, cs in RAW.items() for c, t in cs.items()) + ') v("table", "column", n, total))')
 _p = "(SELECT product_id FROM banking_products UNION ALL SELECT product_id FROM debt_products)"
 _checks = [("companies.group_id_orphans", "companies c WHERE NOT EXISTS (SELECT 1 FROM groups g WHERE g.group_id = c.group_id)")]
 _checks += [(f"{t}.company_orphans", f"{t} x WHERE NOT EXISTS (SELECT 1 FROM companies c WHERE c.company_id = x.company_id)")
@@ -84,8 +105,18 @@ S("roll", """(SELECT company_id, T, sum(inflow_oper) OVER w3 AS s3, avg(inflow_o
   max(inflow_oper) OVER w12 AS hi12 FROM dense_tx WINDOW """ + ", ".join(f"w{k} AS (PARTITION BY company_id ORDER BY t_idx ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in (3, 6, 12)) + ")")
 S("lag_k", "(SELECT company_id, T, lag(cash_balance, 3) OVER w AS lag3, cash_balance - lag(cash_balance, 3) OVER w AS d3 FROM dense_cash WINDOW w AS (PARTITION BY company_id ORDER BY t_idx))")
 S("outcome_window", "label_rows")
-S("sink_cm", "(SELECT company_id, strftime(TIMESTAMP '1999-09-01' + to_months(t_idx), '%Y-%m') AS T, n_tx FROM cm_tx)")
-S("sink_served", "scored1")
+
+
+def counted(name, sources):
+    S(name, "(" + " UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS n, sum(CAST({c} AS DOUBLE)) AS total FROM ({q})" for n, q, c in sources) + ")")
+
+
+counted("sink_cm", [(n, core.SQL[n], c) for n, c in (("cm_tx", "n_tx"), ("cm_cash", "cash_balance"), ("cm_invoice_lag", "n"), ("cm_invoice_issued", "n_inv_issued"),
+                    ("cm_invoice_outcome", "n_classifiable"), ("cm_concentration", "inflow_res"))]
+        + [(n, SQL[n] if n in SQL else f"SELECT * FROM {n}", c) for n, c in (("dim_company", "company_id"), ("dim_product", "product_id"), ("dim_bank", "n_products"), ("dim_counterparty", "n_tx"))])
+counted("sink_served", [(n, serving.SQL[n], c) for n, c in (
+    ("risk_score", "score"), ("company_master", "company_id"), ("company_kpi", "company_id"), ("alerts", "company_id"), ("benchmark", "p50"), ("portfolio_history", "risk"),
+    ("contrib_local", "rank"), ("provider_rollup", "products"), ("change_rank", "company_id"))])
 S("sink_csv", "risk_now")
 S("sink_json", "(SELECT company_id, score, (SELECT count(*) FROM risk r WHERE r.company_id = p.company_id) AS n_series FROM port p)")
 S("union_holdout_last", """(SELECT feature, avg(abs(phi)) AS mean_abs FROM (SELECT c.feature, c.phi FROM contribs c JOIN hold h ON h.company_id = c.company_id AND h.T = c.T

@@ -143,7 +143,7 @@ SCEN = {
 S("scenario_rescore", "(" + " UNION ALL ".join(f"SELECT company_id, '{k}' AS scenario, {health({})} AS before, {health({f: e for f, e in v.items() if f in WEIGHTS})} AS after FROM mnow"
                                               for k, v in SCEN.items()) + ")")
 S("j_scenario", "(" + " UNION ALL ".join(f"SELECT company_id, '{k}' AS scenario, '{f}' AS feature, CAST({e} AS DOUBLE) AS new_value FROM mnow" for k, v in SCEN.items() for f, e in v.items()) + ")")
-S("feature_frame", "(SELECT company_id, io_ratio_w3, CASE WHEN company_id % 4 <> 0 THEN hhi_in END AS hhi_in, country FROM mnow)")
+S("feature_frame", "(SELECT * REPLACE (CASE WHEN company_id % 4 <> 0 THEN hhi_in END AS hhi_in) FROM mnow)")
 S("except_features", "(SELECT company_id, CASE WHEN company_id % 3 = 0 THEN 'zz_extra' ELSE '' END AS unknown FROM mnow)")
 TOK = r"\d+(?:[.,]\d+)*"
 
@@ -172,5 +172,5 @@ S("number_grounding", f"""(SELECT doc_id, len(regexp_extract_all(text, '{TOK}'))
 S("insight_validate", f"""(SELECT company_id, least(count(*), 6) AS n_insights, arg_min(text, rank) AS first_title FROM (
   SELECT e.company_id, rank, text, CASE WHEN phi > 0 THEN 'risk' WHEN rank % 5 = 0 THEN 'praise' ELSE 'opportunity' END AS kind,
     {is_grounded("text || ' ' || direction || ' ' || text", 'kn')} AS ok
-  FROM local_ex e JOIN (SELECT company_id, {known("string_agg(text, ' ')")} AS kn FROM local_ex WHERE rank <= 5 AND T = (SELECT max(T) FROM local_ex) GROUP BY 1) d ON d.company_id = e.company_id
+  FROM local_ex e JOIN (SELECT company_id, {known("string_agg(text, ' ')")} AS kn FROM local_ex WHERE T = (SELECT max(T) FROM local_ex) GROUP BY 1) d ON d.company_id = e.company_id
   WHERE e.T = (SELECT max(T) FROM local_ex)) WHERE ok AND kind <> 'praise' GROUP BY 1 HAVING count(*) >= 3)""")

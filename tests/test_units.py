@@ -294,3 +294,45 @@ def test_monitor_derives_alerts_of_touched_keys_only(spark, tmp_path):
     assert {r.day.day: r.n for r in monitor.daily(spark, out, "user_id").where("user_id = 3").collect()} == {i: 1 for i in range(1, 9)}
     for log in (monitor.partials(spark, out, "user_id", 2), monitor.alert_log(spark, out, "user_id", 2)):
         assert len(log.live()) <= 3 and len(log.folders()) <= 8            # nine batches
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    from cashlens.sources import sinks
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("one_b", "two_b"):
+            sinks.save_bucketed(spark.range(500).select(F.col("id").alias("company_id"), F.rand(1).alias(name)), name, str(tmp_path / name), 4)
+        j = spark.table("one_b").join(spark.table("two_b"), "company_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan and j.count() == 500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+        for name in ("one_b", "two_b"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_monthly_table_replaces_only_its_months(spark, tmp_path):
+    from cashlens.sources import sinks
+    path = str(tmp_path / "m")
+    sinks.write_monthly(spark.createDataFrame([(1, "2024-01", 1), (1, "2024-02", 1)], "company_id long, T string, n int"), path)
+    sinks.write_monthly(spark.createDataFrame([(1, "2024-02", 5), (2, "2024-02", 6)], "company_id long, T string, n int"), path)
+    got = {(r.company_id, str(r["T"]), r.n) for r in spark.read.parquet(path).collect()}
+    assert got == {(1, "2024-01", 1), (1, "2024-02", 5), (2, "2024-02", 6)}
+
+
+def test_integrity_counts_by_hand(spark):
+    """Orphans, missing keys and uncovered companies, each table once."""
+    from cashlens.operators import quality
+    from cashlens.sources.treasury import Treasury
+    make = spark.createDataFrame
+    t = Treasury(spark, CFG, {
+        "groups": make([("g",)], "group_id string"), "companies": make([(1, "g"), (2, "lost"), (3, None)], "company_id long, group_id string"),
+        "banking_products": make([(10, 1), (11, 9)], "product_id long, company_id long"), "debt_products": make([(12, None)], "product_id long, company_id long"),
+        "balances": make([(10, 1), (99, 1), (None, 8)], "product_id long, company_id long"),
+        "transactions": make([(10, 1), (10, 1), (98, 1), (98, 1), (None, 1), (10, None), (12, 7)], "product_id long, company_id long"),
+        "invoices": make([(2,), (2,), (6,), (None,)], "company_id long")})
+    assert {r.check: r.n for r in quality.integrity(t).collect()} == {
+        "companies.group_id_orphans": 2, "banking_products.company_orphans": 1, "debt_products.company_orphans": 1, "balances.company_orphans": 1,
+        "transactions.company_orphans": 2, "invoices.company_orphans": 2, "balances.product_orphans": 1, "transactions.product_orphans": 2,
+        "companies.without_transactions": 2, "companies.without_invoices": 2}
