@@ -229,7 +229,7 @@ def _predict(t):
     """The files of a prediction run, read back: one row per company with score, health, reasons and largest change."""
     out = fresh_path(t.spark, "prediction")
     pr.write(unseen(t), out)
-    read = lambda n: t.spark.read.option("header", True).option("escape", '"').option("inferSchema", True).csv(f"{out}/{n}")
+    read = lambda n: t.spark.read.option("header", True).option("escape", '"').schema(unseen(t)[n].schema).csv(f"{out}/{n}")
     change = read("changes").where("rank = 1").select("company_id", F.col("feature").alias("changed"), F.col("direction").alias("change"))
     listed = read("explanations").groupBy("company_id").agg(F.count(F.lit(1)).alias("n_explanations"))
     months = read("predictions").groupBy("company_id").agg(F.count(F.lit(1)).alias("n_months"))
