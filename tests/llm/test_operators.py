@@ -406,15 +406,82 @@ def test_open_windows_lose_no_repeat():
 
 
 def test_chains_brute_force():
+    """Scores against an exhaustive search over all predecessors; chains are disjoint, in order, and worth their score."""
     rng = np.random.default_rng(6)
+    for case in range(200):
+        n, k, cost = int(rng.integers(1, 40)), 3, float(rng.choice([0.05, 0.1, 0.5]))
+        x, y = rng.integers(0, 80, n), rng.integers(0, 80, n)
+        if case % 2:                                                   # a planted diagonal with shifts
+            y = x + rng.integers(-2, 3, n) + 10
+        x, y, length = chaining.merged_runs(*np.unique(np.stack([x, y]), axis=1), k)
+        order = np.lexsort((y, x))
+        x, y, length = x[order], y[order], length[order]
+        score, back = chaining.chain_scores(x, y, length, cost, block=7)
+        best = []
+        for j in range(len(x)):
+            before = [best[p] - cost * (x[j] - x[p] - length[p] + y[j] - y[p] - length[p]) for p in range(len(x))
+                      if x[p] + length[p] <= x[j] and y[p] + length[p] <= y[j]]
+            best.append(length[j] + max([0, *before]))
+        assert np.allclose(score, best)
+        got = chaining.chains(x, y, length, cost, 0)
+        rows = [tuple(r) for c in got for r in c.tolist()]
+        assert len(rows) == len(set(rows)) == len(x)
+        for c in got:
+            assert (c[1:, 0] >= c[:-1, 0] + c[:-1, 2]).all() and (c[1:, 1] >= c[:-1, 1] + c[:-1, 2]).all()
+        c = got[0]
+        skipped = (c[1:, :2] - c[:-1, :2] - c[:-1, 2:]).sum()
+        assert np.isclose(c[:, 2].sum() - cost * skipped, max(best))
+
+
+def test_diagonal_runs_are_the_maximal_runs():
+    """All matches of two periodic texts, made in blocks of a few, merge to the runs of a plain scan."""
+    rng = np.random.default_rng(11)
     for _ in range(40):
-        n, k, cost = int(rng.integers(2, 14)), 3, 0.1
-        x, y = rng.integers(0, 40, n), rng.integers(0, 40, n)
-        x, y = np.unique(np.stack([x, y]), axis=1)
-        got = chaining.chains(x, y, k, cost, 0)
-        assert sum(c[4] for c in got) == len(x)
-        for x0, x1, y0, y1, m in got:
-            assert x1 - x0 >= k and y1 - y0 >= k and m >= 1
+        a, b, k = rng.integers(0, 3, 90), rng.integers(0, 3, 70), 4
+        at = [collections.defaultdict(list), collections.defaultdict(list)]
+        for side, t in enumerate((a, b)):
+            for i in range(len(t) - k + 1):
+                at[side][t[i:i + k].tobytes()].append(i)
+        places = [(np.array(at[0][g]), np.array(at[1][g])) for g in at[0] if g in at[1]]
+        want = set()
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                if n >= k and not (i and j and a[i - 1] == b[j - 1]):
+                    want.add((i, j, n))
+        for block in (1, 50, 1 << 17):
+            got = list(zip(*(v.tolist() for v in chaining.diagonal_runs(places, k, block))))
+            assert len(got) == len(want) and set(got) == want
+    assert [len(v) for v in chaining.diagonal_runs([], 4)] == [0, 0, 0]
+
+
+def test_aligned_parts_split_at_a_gap():
+    """Two passages far apart on one chain are both found; a chain of good identity stays whole."""
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 1 << 31, 500), rng.integers(0, 1 << 31, 500)
+    b[50:120], b[320:400] = a[50:120], a[320:400]
+    b[80] = 1
+    runs = np.array([[50, 50, 30], [81, 81, 39], [320, 320, 80]])
+    assert sorted(chaining.aligned_parts(a, b, runs, 48, 0.8, 40)) == [(50, 70, 50, 70, 69), (320, 80, 320, 80, 80)]
+    assert list(chaining.aligned_parts(a, b, runs[:2], 48, 0.8, 40)) == [(50, 70, 50, 70, 69)]
+    assert list(chaining.aligned_parts(a, b, runs[:1], 48, 0.8, 0)) == []
+
+
+def test_passage_of_a_stock_phrase_repeated_over_and_over(frame):
+    """A seed with many places in both texts loses none: the changed copy is found at its only right place."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    stock = [word() for _ in range(6)]
+    def noisy(n):
+        return [w for _ in range(n) for w in [*stock, *(word() for _ in range(rng.randint(2, 5)))]]
+    passage = [w for _ in range(8) for w in [*stock, *(word() for _ in range(3))]]
+    other = [word() if i == 34 else w for i, w in enumerate(passage)]
+    rows = [(1, " ".join(noisy(60) + passage + noisy(60)), None, None), (2, " ".join(noisy(50) + other + noisy(50)), None, None)]
+    at, first = rows[1][1].split().index(passage[6]), rows[0][1].split().index(passage[6])
+    found = [(r.start, r.start + r.length, r.start - r.first_start) for r in chaining.passages(frame(rows)).collect()]
+    assert any(s <= at - 6 and e >= at - 6 + len(passage) and d == at - first for s, e, d in found), found
 
 
 def test_common_length_and_reach():
