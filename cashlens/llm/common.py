@@ -43,6 +43,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return write_once(df, name)
 
 
+def drop_stage(df: DataFrame) -> None:
+    """Delete a table that ``stage`` wrote, once everything that reads it is written itself."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared storage, for files that tasks write themselves."""
     return fresh_path(spark, name)
