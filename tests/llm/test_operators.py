@@ -452,9 +452,11 @@ def test_diagonal_runs_are_the_maximal_runs():
                 if n >= k and not (i and j and a[i - 1] == b[j - 1]):
                     want.add((i, j, n))
         for block in (1, 50, 1 << 17):
-            got = list(zip(*(v.tolist() for v in chaining.diagonal_runs(places, k, block))))
+            got = list(zip(*(v.tolist() for v in chaining.diagonal_runs(places, k, k, block))))
             assert len(got) == len(want) and set(got) == want
-    assert [len(v) for v in chaining.diagonal_runs([], 4)] == [0, 0, 0]
+            x, y = (np.array(v) for v in zip(*((i, j) for p, q in places for i in p for j in q)))
+            assert set(zip(*(v.tolist() for v in chaining.diagonal_runs(places, k, 9, block)))) == set(zip(*(v.tolist() for v in chaining.merged_runs(x, y, k, 9))))
+    assert [len(v) for v in chaining.diagonal_runs([], 4, 4)] == [0, 0, 0]
 
 
 def test_aligned_parts_split_at_a_gap():
