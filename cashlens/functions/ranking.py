@@ -10,27 +10,46 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-BUCKETS = 32
+BUCKET_ROWS = 100_000                     # values that one task sorts, as long as FINEST buckets are enough
+FINEST = 1024
+WIDTH = 32                                # cuts in a group; a value looks at the groups' ends, then into one group
+
+
+def thinned(cuts: Column, count: Column, rows: int) -> Column:
+    """Groups of ``WIDTH`` of the sorted ``cuts`` that part ``count`` values into buckets of about ``rows``: none for few values, all for many."""
+    parts = F.least(F.ceil(count / F.lit(rows)), F.size(cuts) + 1).cast("int")
+    step = (F.size(cuts) + 1) / parts
+    some = F.when(parts > 1, F.transform(F.sequence(F.lit(1), F.greatest(parts - 1, F.lit(1))),
+                                         lambda i: F.element_at(cuts, F.floor(i * step).cast("int")))).otherwise(F.slice(cuts, 1, 0))
+    groups = F.sequence(F.lit(0), F.floor(F.size(some) / WIDTH).cast("int"))
+    return F.transform(groups, lambda g: F.slice(some, g * WIDTH + 1, WIDTH))
+
+
+def bucket(groups: Column, value: Column) -> Column:
+    """Number of cuts below ``value``."""
+    whole = F.size(F.filter(groups, lambda g: (F.size(g) == WIDTH) & (F.element_at(g, -1) < value)))
+    return whole * WIDTH + F.coalesce(F.size(F.filter(F.get(groups, whole), lambda c: c < value)), F.lit(0))
 
 
 def cumulative(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None = None,
-               buckets: int = BUCKETS) -> DataFrame:
+               rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per (keys, distinct non-null value), with for every measure m in ``sums``:
     m (in the value), m_before (all smaller values) and m_total (whole key).
-    The default measure is the row count, ``n``.
+    The default measure is the row count, ``n``. A key has as many buckets as its values fill with ``rows`` each.
     """
     sums = sums or {"n": F.lit(1)}
     names = list(sums)
     d = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
          .agg(*[F.sum(c).alias(m) for m, c in sums.items()]))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = d.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("__cuts"))
+    probs = [i / FINEST for i in range(1, FINEST)]
+    cuts = (d.groupBy(*keys).agg(F.percentile_approx(value, probs, 10_000).alias("__c"), F.count(F.lit(1)).alias("__n"))
+            .select(*keys, thinned(F.col("__c"), F.col("__n"), rows).alias("__cuts")))
     if keys:
         d = d.join(cuts, keys)
     else:
-        d = d.crossJoin(F.broadcast(cuts))          # a single row
-    d = d.withColumn("__b", F.size(F.filter("__cuts", lambda s: s < F.col(value)))).drop("__cuts")
-    # at most `buckets` rows per key from here on
+        d = d.crossJoin(F.broadcast(cuts))          # a single row of less than FINEST cuts
+    d = d.withColumn("__b", bucket(F.col("__cuts"), F.col(value))).drop("__cuts")
+    # at most FINEST rows per key from here on
     per = d.groupBy(*keys, "__b").agg(*[F.sum(m).alias(f"__{m}") for m in names])
     wk = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     wb = wk.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
@@ -71,20 +90,26 @@ def percent_rank_avg(df: DataFrame, keys: list[str], value: str, out: str, desce
     return df.join(r, [*keys, value], "left")
 
 
-def row_numbers(df: DataFrame, order: list[str], out: str, splits: int = 63) -> DataFrame:
-    """Global 1-based row number by ``order`` (which must be unique), without a single-task sort.
+def bucketed(df: DataFrame, order: list[str], rows: int = BUCKET_ROWS) -> DataFrame:
+    """``df`` with ``__b``, the bucket of about ``rows`` rows that a row falls into by ``order``.
 
-    Cut points are the tuples of the ``splits`` rows with the smallest hashes.
+    Cut points are tuples of the rows with the smallest hashes, as many as the rows fill buckets.
     """
     tup = F.struct(*[F.col(c) for c in order])
-    sample = df.select(tup.alias("__t"), F.xxhash64(*order).alias("__h")).orderBy("__h").limit(splits)
-    cuts = sample.agg(F.collect_list("__t").alias("__cuts"))
-    d = (df.crossJoin(F.broadcast(cuts))             # a single row of at most `splits` tuples
-         .withColumn("__b", F.size(F.filter("__cuts", lambda s: s < tup))).drop("__cuts"))
+    sample = df.select(tup.alias("__t"), F.xxhash64(*order).alias("__h")).orderBy("__h").limit(FINEST - 1)
+    cuts = (sample.agg(F.array_sort(F.collect_list("__t")).alias("__t")).crossJoin(df.agg(F.count(F.lit(1)).alias("__n")))
+            .select(thinned(F.col("__t"), F.col("__n"), rows).alias("__cuts")))
+    return (df.crossJoin(F.broadcast(cuts))          # a single row of less than FINEST tuples
+            .withColumn("__b", bucket(F.col("__cuts"), tup)).drop("__cuts"))
+
+
+def row_numbers(df: DataFrame, order: list[str], out: str, rows: int = BUCKET_ROWS) -> DataFrame:
+    """Global 1-based row number by ``order`` (which must be unique), without a single-task sort."""
+    d = bucketed(df, order, rows)
     per = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     wb = W.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     per = per.select("__b", F.coalesce(F.sum("__n").over(wb), F.lit(0)).alias("__off"),
                      F.sum("__n").over(W.partitionBy(F.lit(0))).alias(f"{out}_total"))
     wv = W.partitionBy("__b").orderBy(*order)
-    return (d.join(F.broadcast(per), "__b")          # at most `splits` + 1 rows
+    return (d.join(F.broadcast(per), "__b")          # at most FINEST rows
             .withColumn(out, F.col("__off") + F.row_number().over(wv)).drop("__b", "__off"))

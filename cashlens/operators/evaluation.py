@@ -96,33 +96,6 @@ def rate_by(df: DataFrame, kind: str, key: Column) -> DataFrame:
         F.lit(kind).alias("kind"), "key", "share", "n")
 
 
-# P(N ≤ k) of a Poisson(1) draw
-POISSON_CDF = [0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759]
-
-
-def bootstrap(df: DataFrame, a: str, b: str, n_boot: int = 1000, seed: int = 42) -> DataFrame:
-    """Paired row resampling: interval of average precision for A, B and the lift B − A.
-
-    Each row gets a Poisson(1) weight per replicate from its hash, so a replicate needs no shuffle
-    of its own and repeated runs agree."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "rep", "company_id", "T"), F.lit(1 << 53)) / float(1 << 53))
-    w = F.lit(0)
-    for c in POISSON_CDF:
-        w = w + F.when(u > c, 1).otherwise(0)
-    reps = df.select("company_id", "T", "y", a, b, F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("rep")) \
-        .withColumn("w", w).where("w > 0")
-
-    def ap(p, out):
-        c = cumulative(reps, ["rep"], p, {"n": F.col("w"), "pos": F.col("w") * F.col("y")}, buckets=8)
-        tp, flagged = F.col("pos_total") - F.col("pos_before"), F.col("n_total") - F.col("n_before")
-        return c.where("pos_total > 0").groupBy("rep").agg(
-            F.sum(F.col("pos") / F.col("pos_total") * tp / flagged).alias(out))
-    both = ap(a, "ap_a").join(ap(b, "ap_b"), "rep").withColumn("lift", F.col("ap_b") - F.col("ap_a"))
-    q = [F.percentile(x, p).alias(f"{x}_{n}") for x in ("ap_a", "ap_b", "lift") for n, p in (("lo", 0.025), ("hi", 0.975))]
-    return both.agg(*q, F.avg("lift").alias("lift_mean"), F.avg((F.col("lift") <= 0).cast("int")).alias("p_lift_le_0"),
-                    F.count(F.lit(1)).alias("replicates"))
-
-
 def class_profile(c: DataFrame, zcols: list[str]) -> DataFrame:
     """Per class: size, mean z of each component, coverage and history."""
     return c.groupBy("cls").agg(

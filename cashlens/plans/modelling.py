@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from cashlens.functions.exprs import platt
-from cashlens.operators import decisions as dc, evaluation as ev, labels as lb, model as md, model_store as ms, predicting as pr, serve as sv
+from cashlens.operators import decisions as dc, evaluation as ev, labels as lb, model as md, model_store as ms, predicting as pr, resampling as rs, serve as sv
 from cashlens.operators.panel import FEATURE_BLOCK, feature_sets, panel
 from cashlens.operators.scorecard import feature_panel, scored
 from cashlens.plans.projecting import holdout, reserved_rows
@@ -272,4 +272,4 @@ def _tree(t):
     return c.groupBy("company_id", "t_idx").agg(F.sum("phi").alias("total"), F.first("base").alias("base"), F.first("margin").alias("margin"))
 
 
-query("bootstrap")(lambda t: ev.bootstrap(holdout(t), "score_A", "score"))
+query("bootstrap")(lambda t: rs.bootstrap(holdout(t), "score_A", "score"))

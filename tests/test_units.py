@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,8 +174,45 @@ def test_ranking_equals_brute_force(spark):
             pos = p * (len(xs) - 1)
             lo = int(pos)
             assert got == pytest.approx(xs[lo] + (xs[min(lo + 1, len(xs) - 1)] - xs[lo]) * (pos - lo))
-    order = [r.id for r in ranking.row_numbers(df, ["v", "id"], "r").orderBy("r").collect()]
-    assert order == [i for i, _, _ in sorted(vals, key=lambda x: (x[2], x[0]))]
+    for rows in (7, 1000):                                # many buckets, one bucket
+        order = [r.id for r in ranking.row_numbers(df, ["v", "id"], "r", rows).orderBy("r").collect()]
+        assert order == [i for i, _, _ in sorted(vals, key=lambda x: (x[2], x[0]))]
+
+
+def test_buckets_follow_the_rows(spark):
+    """Half of all rows hold one value: the running counts stay exact, and few values make one bucket, many make many."""
+    vals = sorted([3.0] * 500 + [float(i * 7919 % 1000) for i in range(500)])
+    df = spark.createDataFrame([(v,) for v in vals], "v double").repartition(5)
+    for rows in (3, 1000):
+        got = {r.v: (r.n, r.n_before, r.n_total) for r in ranking.cumulative(df, [], "v", rows=rows).collect()}
+        assert got == {v: (vals.count(v), vals.index(v), 1000) for v in set(vals)}
+    keyed = df.withColumn("id", F.monotonically_increasing_id())
+    assert ranking.bucketed(keyed, ["v", "id"], 1000).select("__b").distinct().count() == 1
+    sizes = [r["count"] for r in ranking.bucketed(keyed, ["v", "id"], 20).groupBy("__b").count().collect()]
+    assert len(sizes) > 40 and max(sizes) <= 60
+    assert ranking.cumulative(df.where("v < 0"), [], "v").count() == 0
+
+
+@pytest.mark.parametrize("rows", [40, 100_000])
+def test_bootstrap_equals_weighted_average_precision(spark, rows):
+    from cashlens.operators import resampling
+    rnd = random.Random(5)
+    data = [(i, "2024-01", rnd.choice([0, 0, 1]), 0.5 if i % 2 else round(rnd.random(), 2), rnd.random()) for i in range(700)]
+    df = spark.createDataFrame(data, "company_id long, T string, y int, a double, b double")
+    keyed = df.withColumn("h", F.xxhash64(F.lit(42), "company_id", "T"))
+    w = {r.company_id: resampling.weights(np.array([r.h]), 20)[0] for r in keyed.collect()}
+    for p, at in (("a", 3), ("b", 4)):
+        got = {r.rep: r.ap for r in resampling.precision_of_replicates(keyed, p, 20, rows).collect()}
+        for rep in range(20):
+            tp = flagged = ap = 0
+            every = sum(w[r[0]][rep] * r[2] for r in data)
+            for v in sorted({r[at] for r in data}, reverse=True):
+                hit = sum(w[r[0]][rep] * r[2] for r in data if r[at] == v)
+                tp, flagged = tp + hit, flagged + sum(w[r[0]][rep] for r in data if r[at] == v)
+                ap += hit / every * tp / max(flagged, 1)
+            assert got[rep] == pytest.approx(ap)
+    one = resampling.bootstrap(df, "a", "b", 50, rows=rows).first()
+    assert one.replicates == 50 and one.lift_lo <= one.lift_mean <= one.lift_hi
 
 
 @pytest.mark.parametrize("services,types,kind", [
