@@ -133,3 +133,25 @@ def test_predictions_of_unseen_companies(spark, tmp_path):
     assert latest.columns == pr.LATEST and latest.where("main_reasons is null").count() == 0
     s = spark.read.json(str(tmp_path / "out/summary")).first()
     assert s.n_companies == 3 and s.first_month == cfg.first_month and sum(v for v in s.health_band.asDict().values() if v) == latest.count()
+
+
+def test_subsets_share_one_preparation(spark, rows):
+    few = ["top1_in_share", "cash_months_of_outflow", "country"]
+    shared = md.prepare_logistic(rows, [*MOVED, "country"], QUICK)
+    alone, side = md.fit_logistic(rows, few, QUICK), md.fit_logistic(rows, few, QUICK, shared)
+    both = md.predict(side, md.predict(alone, rows, few, "p_alone"), few, "p_side")
+    assert both.agg(F.max(F.abs(F.col("p_alone") - F.col("p_side")))).first()[0] < 1e-9
+    assert md.predict(alone, rows, few).agg(F.stddev("p")).first()[0] > 0
+
+
+def test_fits_of_few_rows_run_side_by_side(spark):
+    import threading
+    met = threading.Barrier(3, timeout=20)
+
+    def job(i):
+        met.wait()                                                     # breaks unless all three run at once
+        return i, spark.range(i).count()
+    assert md.side_by_side(spark, [lambda i=i: job(i) for i in (1, 2, 3)], 1000) == [(1, 1), (2, 2), (3, 3)]
+    one = []
+    md.side_by_side(spark, [lambda i=i: one.append((i, threading.current_thread() is threading.main_thread())) for i in (1, 2)], 10**9)
+    assert one == [(1, True), (2, True)]
