@@ -374,3 +374,33 @@ def test_integrity_counts_by_hand(spark):
         "companies.group_id_orphans": 2, "banking_products.company_orphans": 1, "debt_products.company_orphans": 1, "balances.company_orphans": 1,
         "transactions.company_orphans": 2, "invoices.company_orphans": 2, "balances.product_orphans": 1, "transactions.product_orphans": 2,
         "companies.without_transactions": 2, "companies.without_invoices": 2}
+
+
+def test_size_cohorts_of_ties_repeats_and_missing_sizes(spark):
+    """Quartiles by the rank of (size, company, month), as a plain sort gives them; a repeated company-month meets every rank it has."""
+    from cashlens.operators.panel import size_cohort
+    rows = [(c, m, None if c % 9 == 0 else float((c * 7 + m) % 5)) for c in range(1, 41) for m in range(3)]
+    rows += [(5, 1, 0.0), (5, 1, 4.0), (None, 0, 2.0)]
+    df = spark.createDataFrame(rows, "company_id long, t_idx int, size_outflow_12m double")
+    got = size_cohort(df)
+    key = lambda r: ((r[2] is not None, r[2] or 0.0), (r[0] is not None, r[0] or 0), r[1])
+    ranked = [(r, 1 + i) for i, r in enumerate(sorted(rows, key=key))]
+    edge = lambda q: 1 + (len(rows) - 1) * q                                                 # noqa: E731
+    name = lambda i: "q1" if i <= edge(.25) else "q2" if i <= edge(.5) else "q3" if i <= edge(.75) else "q4"
+    want = [(*a, name(i)) for a in rows for b, i in ranked if a[0] is not None and a[:2] == b[:2]]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_exploded_months_are_not_shuffled(spark):
+    """Look-back rows are dealt by company before they are exploded: no exchange lies above the explosion."""
+    from cashlens.operators import company_month as cm
+    from cashlens.sources import schemas
+    from cashlens.sources.treasury import Treasury
+
+    def one(name):
+        schema = spark.createDataFrame([], schemas.ddl(name)).schema
+        return spark.createDataFrame([(None,) * len(schema)], schema)
+    t = Treasury(spark, PanelConfig(), {n: one(n) for n in ("transactions", "invoices")})
+    for df in (cm.cm_concentration(t), cm.cm_invoice_lag(t)):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Generate explode")[0].split("Initial Plan")[-1]
+        assert "Exchange" not in plan
