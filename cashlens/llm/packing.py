@@ -19,6 +19,7 @@ from cashlens.llm.common import memo, per_batch
 
 #: Fixed value: how the tokenizer file splits normalised text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+APART = b"\xff" * 4            # ids are below 2^24, so four of their bytes in a row hold a zero
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint"
 
 
@@ -34,7 +35,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.split, self.room = regex.compile(PIECES).findall, room
+        self.split, self.room = regex.compile(PIECES + r"|\n").findall, room
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.odd = regex.compile(r"[\x1c-\x1f]").search
@@ -42,33 +43,30 @@ class WordEncoder:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, texts: list[str]) -> None:
-        """Fill the memo with every chunk of ``texts``."""
+    def learn(self, texts: list[list[str]]) -> None:
+        """Fill the memo with every chunk of ``texts``, which are lists of chunks.
+
+        Chunks are split side by side: a line break keeps them apart, and so do four bytes that no id or part of two ids has."""
         if len(self.chunks) > self.room:
             self.chunks.clear()
         if len(self.pieces) > self.room:
             self.pieces.clear()
-        known, new = self.chunks, set()
-        for t in texts:
-            new.update(t.split())
-        new = [c for c in new if c not in known]
-        parts, missing = [], set()
-        for c in new:
+        known, words, plain, latin = self.chunks, [], [], []
+        for c in set().union(*texts).difference(known):
             if c.isascii():
-                p = self.split(c.lower())
+                (words if c.isalpha() else plain).append(c)            # letters alone are one piece
             elif max(c) <= "ɏ":
-                p = self.split("".join(map(str.lower, unicodedata.normalize("NFC", c))))
+                latin.append(c)
             else:
                 known[c] = self.whole(c)
-                parts.append(None)
-                continue
-            parts.append(p)
-            missing.update(p)
-        self.learn_pieces([p for p in missing if p not in self.pieces])
+        lowered = [c.lower() for c in words]
+        flat = self.split("\n".join(plain).lower() + "\n" + "".join(map(str.lower, unicodedata.normalize("NFC", "\n".join(latin)))))
+        self.learn_pieces([*set(lowered).union(flat).difference(self.pieces, "\n")])
         get = self.pieces.__getitem__
-        for c, p in zip(new, parts):
-            if p is not None:
-                known[c] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
+        known.update(zip(words, map(get, lowered)))
+        ids = b"".join([APART if p == "\n" else get(p) for p in flat]).split(APART)
+        known.update(zip(plain, ids))
+        known.update(zip(latin, ids[len(plain) or 1:]))
 
     def learn_pieces(self, pieces: list[str]) -> None:
         """Pieces side by side in long lines; a blank keeps them apart, and the word numbers say whose the ids are."""
@@ -87,9 +85,10 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [not t or not self.odd(t) for t in texts]
-        self.learn([t for t, ok in zip(texts, plain) if ok])
+        chunks = [t.split() if ok else [] for t, ok in zip(texts, plain)]
+        self.learn(chunks)
         get = self.chunks.__getitem__
-        return [b"".join(map(get, t.split())) if ok else self.whole(t) for t, ok in zip(texts, plain)]
+        return [b"".join(map(get, c)) if ok else self.whole(t) for t, c, ok in zip(texts, chunks, plain)]
 
 
 def binary_cuts(n: int, max_len: int) -> list[int]:

@@ -56,6 +56,17 @@ def test_packing_round_trip(frame, odd):
     assert not held and got == want
 
 
+def test_chunks_split_side_by_side():
+    """Chunks of a batch are split in one call, and each gets the ids that the tokenizer gives its text."""
+    texts = ["", "plain words Only", "don't I'LL 's 't' 12a3 _x-1 a", "Ünï Şé İstanbul Straße ÿ's", "中文 abc é! é", "\x00 a\x01b \xad \xad!", "\x1d q", "\n\n - \t"]
+    enc = packing.WordEncoder(P.path("word_bpe_49k.json"))
+    want, calls, split = [enc.whole(t) for t in texts], [], enc.split
+    enc.split = lambda s: calls.append(s) or split(s)
+    assert enc.encode(texts) == want and len(calls) == 1
+    assert enc.encode(texts[::-1]) == want[::-1]
+    assert [packing.WordEncoder(P.path("word_bpe_49k.json")).encode([t])[0] for t in texts] == want
+
+
 def test_packing_empty(frame):
     assert packing.pack(frame([]), P.path("word_bpe_49k.json")).count() == 0
     with pytest.raises(ValueError):
