@@ -3,7 +3,7 @@
 1. One pass over the texts finds the distinct words (matches of the split pattern); Spark aggregates them, so that
    only distinct words of a task are shuffled.
 2. Each distinct word becomes an array of the ids of its bytes, and ``aggregate`` merges the adjacent pair of lowest rank,
-   the leftmost first, until no pair has a rank. Ranks come from a literal map of pairs, dealt into buckets because a
+   the leftmost first, until no pair has a rank. Ranks come from a literal table of pairs, dealt into buckets because a
    map lookup in Spark is a linear search. The pair ranks are carried along; a step looks up the two new pairs only.
 3. The encoded words are written as sorted hash files to the shared folder. A second pass over the texts joins the
    ids of the words of each text by looking them up there: no text is shuffled, and a task's memory is a bounded memo.
@@ -78,21 +78,27 @@ def let(value: Column, fn) -> Column:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """Literal map (pair of ids as one number) → rank of the joined piece: buckets of keys k and their ranks r."""
-    buckets: list[dict] = [{"k": [], "r": []} for _ in range(BUCKETS)]
+    """Literal buckets of pairs of ids: no rank, then each pair as one number (above any rank) with the rank of the joined piece behind it."""
+    buckets: list[list[int]] = [[NO_RANK] for _ in range(BUCKETS)]
     for piece, r in ranks.items():
         for cut in range(1, len(piece)):
             a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if a is not None and b is not None:
-                bucket = buckets[(a * 31 + b) % BUCKETS]
-                bucket["k"].append(a * PAIR + b)
-                bucket["r"].append(r)
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<struct<k:array<bigint>,r:array<int>>>")
+                buckets[(a * 31 + b) % BUCKETS] += [(a + 1) * PAIR + b, r]
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>")
 
 
 def byte_ids(ranks: dict[bytes, int]) -> Column:
-    """Literal map from two hex digits to the id of that byte."""
-    return F.from_json(F.lit(json.dumps({f"{b:02X}": ranks[bytes([b])] for b in range(256)})), "map<string,int>")
+    """Literal array of the ids of the bytes, placed by ``hex_place`` of their two hex digits."""
+    ids = [0] * (hex_place(*b"FF") + 1)
+    for b in range(256):
+        ids[hex_place(*b"%02X" % b)] = ranks[bytes([b])]
+    return F.from_json(F.lit(json.dumps(ids)), "array<int>")
+
+
+def hex_place(high, low):
+    """A number for two hex digits' codes; the codes of 0 to F lie less than 32 apart."""
+    return high * 32 + low
 
 
 def unreachable(ranks: dict[bytes, int]) -> dict[str, int]:
@@ -113,8 +119,8 @@ def _fold(word: Column, table: Column, single: Column) -> Column:
     none = F.array().cast("array<int>")
 
     def rank(a: Column, b: Column) -> Column:
-        return let(F.get(table, F.pmod(a * 31 + b, F.lit(BUCKETS))), lambda found: F.coalesce(
-            F.get(found["r"], (F.array_position(found["k"], a.cast("long") * PAIR + b) - 1).cast("int")), F.lit(NO_RANK)))
+        return let(F.get(table, F.pmod(a * 31 + b, F.lit(BUCKETS))), lambda found: F.get(
+            found, F.array_position(found, (a.cast("long") + 1) * PAIR + b).cast("int")).cast("int"))         # 0, if the pair isn't there
 
     def tail(a: Column, start: Column) -> Column:
         return F.slice(a, start, F.lit(1 << 30))
@@ -138,7 +144,7 @@ def _fold(word: Column, table: Column, single: Column) -> Column:
 
     def folded(h: Column) -> Column:
         places = F.sequence(F.lit(1), F.length(h) - 1, F.lit(2))
-        return let(F.transform(places, lambda i: F.element_at(single, F.substring(h, i, F.lit(2)))), start)
+        return let(F.transform(places, lambda i: F.get(single, hex_place(F.ascii(F.substring(h, i, F.lit(1))), F.ascii(F.substring(h, i + 1, F.lit(1)))))), start)
 
     return let(F.hex(word), folded)
 

@@ -96,6 +96,18 @@ def test_heap_merges_equal_fold(spark):
         assert r.ids == ([ranks[b]] if b in ranks else byte_bpe.heap_merges(b, ranks))
 
 
+def test_every_byte_is_placed_without_a_search(spark):
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    got = spark.range(1).select(byte_bpe.byte_ids(ranks).alias("ids")).first().ids
+    assert isinstance(got, list) and all(got[byte_bpe.hex_place(*b"%02X" % b)] == ranks[bytes([b])] for b in range(256))
+    table = spark.range(1).select(byte_bpe.rank_map(ranks).alias("t")).first().t
+    for pair in (b"th", b" t", b"zq", b"\xff\xfe"):
+        a, b = ranks[pair[:1]], ranks[pair[1:]]
+        found = table[(a * 31 + b) % byte_bpe.BUCKETS]
+        key = (a + 1) * byte_bpe.PAIR + b
+        assert found[found.index(key) + 1 if key in found else 0] == ranks.get(pair, byte_bpe.NO_RANK)
+
+
 # ---- language model
 def test_language_model_brute_force(frame, odd):
     rng = random.Random(5)
