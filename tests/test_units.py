@@ -404,3 +404,34 @@ def test_exploded_months_are_not_shuffled(spark):
     for df in (cm.cm_concentration(t), cm.cm_invoice_lag(t)):
         plan = df._jdf.queryExecution().executedPlan().toString().split("Generate explode")[0].split("Initial Plan")[-1]
         assert "Exchange" not in plan
+
+
+def test_monthly_tables_are_written_side_by_side(spark, monkeypatch):
+    import threading
+    from cashlens.operators import company_month as cm
+    from cashlens.sources.treasury import Treasury
+    met = threading.Barrier(2, timeout=60)
+
+    def maker(column):
+        def make(t):
+            met.wait()                                   # alone, a table would wait in vain
+            return spark.createDataFrame([(1, 0, 5.0)], f"company_id bigint, t_idx int, {column} double")
+        return make
+    monkeypatch.setattr(cm, "cm_tx", maker("n_tx"))
+    monkeypatch.setattr(cm, "cm_cash", maker("cash_balance"))
+    t = Treasury(spark, PanelConfig(), {"companies": spark.createDataFrame([(1, None)], "company_id bigint, group_id string")})
+    got = pn.dense(t, ["n_tx", "cash_balance"]).where("t_idx = 0").select("n_tx", "cash_balance").collect()
+    assert [tuple(r) for r in got] == [(5.0, 5.0)]
+
+
+def test_a_layer_is_built_once_by_threads(spark):
+    import time
+    from types import SimpleNamespace
+    from cashlens.sources.staging import staged, together
+    t, built = SimpleNamespace(), []
+
+    def build():
+        built.append(1)
+        time.sleep(0.5)
+        return spark.range(3)
+    assert [d.count() for d in together(spark, [lambda: staged(t, "x", build)] * 4)] == [3] * 4 and len(built) == 1
