@@ -435,3 +435,22 @@ def test_a_layer_is_built_once_by_threads(spark):
         time.sleep(0.5)
         return spark.range(3)
     assert [d.count() for d in together(spark, [lambda: staged(t, "x", build)] * 4)] == [3] * 4 and len(built) == 1
+
+
+def test_lines_meet_their_orders_once(spark, tmp_path):
+    import datetime as dt
+    from cashlens.sources.treasury import StarTreasury
+    day = dt.datetime(1995, 3, 1)
+    lines = [(1, 1), (2, 2), (None, 3), (9, 4)]          # order 1 comes twice, 9 never
+    spark.createDataFrame([(o, n, 7, 4, day, 10.0, 100.0, "A", "F") for o, n in lines],
+                          "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_shipdate timestamp, l_quantity double, "
+                          "l_extendedprice double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 41, "F", "1-URGENT"), (1, 42, "P", "1-URGENT"), (2, 43, "O", "4-NOT SPECIFIED"), (None, 44, "F", "1-URGENT")],
+                          "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    t = StarTreasury(spark, str(tmp_path))
+    tx, inv = t.table("transactions", "counterparty_id", "accounting_status"), t.table("invoices", "counterparty_id", "status")
+    assert sorted(map(str, map(tuple, tx.collect()))) == sorted(map(str, [
+        ("1", "RECONCILIATION_COMPLETED"), ("2", "DISCARDED"), (None, None), (None, None), (None, None)]))
+    assert inv.count() == 0                              # company 4 has no invoices
+    for df in (tx, inv):
+        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
