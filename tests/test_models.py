@@ -155,3 +155,45 @@ def test_fits_of_few_rows_run_side_by_side(spark):
     one = []
     md.side_by_side(spark, [lambda i=i: one.append((i, threading.current_thread() is threading.main_thread())) for i in (1, 2)], 10**9)
     assert one == [(1, True), (2, True)]
+
+
+def test_models_of_a_version_are_written_side_by_side(spark, tmp_path):
+    import threading
+    met = threading.Barrier(3, timeout=20)
+
+    class Model:
+        def write(self):
+            return self
+
+        def save(self, path):
+            met.wait()                                                 # breaks unless all three are written at once
+    version = ms.store(spark, str(tmp_path), {n: Model() for n in "abc"}, {})
+    assert (tmp_path / "versions" / version / "metadata").exists()
+
+
+@pytest.mark.parametrize("main, n", [("ensemble_B", 3), ("boosted_B", 2)])
+def test_final_fits_do_not_wait_for_the_choice(spark, monkeypatch, main, n):
+    import threading
+
+    from cashlens.plans import modelling as m
+    done, stored = threading.Event(), []
+
+    def fitted(t, kind, features, fold, mc=None):
+        if (kind, fold) == ("forest", None):
+            done.set()
+        return kind + features
+
+    def choice(t):
+        assert done.wait(20)
+        return main, "p"
+    for name, fake in {"train_rows": lambda t: spark.range(5).withColumn("T", F.lit("2001-01")), "fitted": fitted, "choice": choice,
+                       "oof": lambda t: None, "size_edges": lambda t: [1.0, 2.0, 3.0]}.items():
+        monkeypatch.setattr(m, name, fake)
+    monkeypatch.setattr(md, "fit_platt", lambda *a: (1.0, 0.0))
+    monkeypatch.setattr(md, "room", lambda *a: 100)
+    monkeypatch.setattr(ms, "store", lambda spark, root, models, meta: stored.append((meta["rows"], models)) or meta["rows"])
+    monkeypatch.setattr(ms, "promote", lambda *a, **k: None)
+    t = StarTreasury(spark, SF)
+    m.stored(t)
+    kept = dict(stored)
+    assert len(kept["all labelled"]) == n and kept["holdout training"] == {"boosted_B": "boostedB", "boosted_A": "boostedA"}
