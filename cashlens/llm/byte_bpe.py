@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -28,6 +29,7 @@ from cashlens.llm.common import per_batch, shared_folder, stage
 from cashlens.llm.hashfile import file_column, files_for, find, hash_pairs, save
 
 BUCKETS, PAIR, NO_RANK = 40009, 1 << 20, 2**31 - 1
+SLICE = 8 << 20                  # bytes of texts, about, whose chunks are told apart at once
 #: White space as Unicode's property has it, which is what ``\s`` means to the tokenizer.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -46,30 +48,49 @@ def splitter(pattern: str):
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: ASCII marks that no alternative of the pattern treats in a way of its own (an apostrophe begins a contraction).
+MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'")
+
+
 def chunker(pattern: str):
-    """(cut, split): ``cut`` parts a text at blanks, ``split`` gives the words of a chunk as the pattern finds them.
+    """(whole, split): ``whole`` tells if a text can't be parted at its blanks, ``split`` gives the words of a chunk as the pattern finds them.
 
     A match never runs over a blank except in a run of white space, so a text with white space on both sides of a
     blank (or before a last one) stays whole. Chunks stand without the blank before them; the first chunk of a text,
-    which has none, is marked by a NUL in front.
+    which has none, is marked by a NUL in front, so a text that holds a NUL itself stays whole too.
     """
     across, words = regex.compile(f"[{SPACE}] (?=[{SPACE}]|$)").search, splitter(pattern)
     doubtful = [[w + " " for w in BLANKS if ascii_ <= w.isascii()] for ascii_ in (False, True)]
 
-    def cut(text: str) -> list[str]:
-        if not text:
-            return []
-        if any(w in text for w in doubtful[text.isascii()]) and across(text):
-            return ["\0" + text]
-        parts = text.split(" ")
-        parts[0] = "\0" + parts[0]
-        return parts
+    def whole(text: str) -> bool:
+        return "\0" in text or any(w in text for w in doubtful[text.isascii()]) and across(text) is not None
 
     def split(chunk: str) -> list[str]:
-        if chunk.isalpha():                                            # letters alone are one word
-            return [" " + chunk]
+        letters = chunk.rstrip(MARKS)
+        if letters.isalpha() or not letters:                           # letters are one word, marks behind them another
+            return [" " + letters, chunk[len(letters):]] if letters and len(letters) < len(chunk) else [" " + chunk]
         return words(chunk[1:]) if chunk[:1] == "\0" else words(" " + chunk)
-    return cut, split
+    return whole, split
+
+
+def slices(texts: pa.Array) -> list[tuple[int, int]]:
+    """(place, rows) of parts of a column with about ``SLICE`` bytes each."""
+    rows = max(1, len(texts) * SLICE // max(texts.nbytes, 1))
+    return [(lo, min(rows, len(texts) - lo)) for lo in range(0, len(texts), rows)]
+
+
+def chunked(texts: pa.Array, whole) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Chunks of a column of texts, as arrays: the order in which its rows follow (whole ones last), the distinct chunks,
+    the place of every chunk among these, and where each row's chunks end."""
+    texts = texts.cast(pa.string()).fill_null("")
+    odd = np.fromiter(map(whole, texts.to_pylist()), bool, len(texts))
+    marked = pc.binary_join_element_wise("\0", texts, "")
+    parts = pc.split_pattern(marked.filter(pa.array(~odd)), " ")
+    rest = marked.filter(pa.array(odd))
+    found = pa.concat_arrays([parts.flatten(), rest]).dictionary_encode()
+    counts = np.concatenate([pc.list_value_length(parts).to_numpy(zero_copy_only=False), np.ones(len(rest), np.int64)])
+    distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()                # much faster than to_pylist
+    return np.argsort(odd, kind="stable"), distinct, found.indices.to_numpy(zero_copy_only=False), np.cumsum(counts).astype(np.int64)
 
 
 def let(value: Column, fn) -> Column:
@@ -174,9 +195,10 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def encoded_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, long_word: int) -> tuple[str, int]:
     """Folder and number of sorted hash files with the ids of every distinct word of the texts."""
     def distinct(batch: pa.RecordBatch):
-        (cut, split), words, seen = chunker(pattern), set(), set()
+        (whole, split), words, seen = chunker(pattern), set(), set()
         for t in batch.column(0).to_pylist():
-            seen.update(cut(t or ""))
+            if t:
+                seen.update(["\0" + t] if whole(t) else ("\0" + t).split(" "))
         for c in seen:
             words.update(split(c))
         words = [w for w in words if len(w) * 4 <= long_word or len(w.encode()) <= long_word]
@@ -235,23 +257,26 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, long_word: int = 64,
                 memo[w] = np.asarray([table.value[b]] if b in table.value else heap_merges(b, table.value), "<u4").tobytes()
 
     def join(batch: pa.RecordBatch):
-        (cut, split), memo = chunker(pattern), _MEMO.setdefault(folder, {})
-        keys, texts = batch.column(0), batch.column(1).to_pylist()
-        for lo in range(0, len(texts), 400):
-            chunks = [cut(t or "") for t in texts[lo:lo + 400]]
+        (whole, split), memo = chunker(pattern), _MEMO.setdefault(folder, {})
+        for lo, n in slices(batch.column(1)):
+            order, chunks, place, ends = chunked(batch.column(1).slice(lo, n), whole)
             if len(memo) > room:
                 memo.clear()
-            if new := [(c, split(c)) for c in set().union(*chunks).difference(memo)]:
+            if new := [(c, split(c)) for c in chunks if c not in memo]:
                 words: dict[str, bytes] = {}
                 learn(words, list({w for _, ws in new for w in ws}))
                 memo.update((c, words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])) for c, ws in new)
-            get = memo.__getitem__
-            out = [b"".join(map(get, c)) for c in chunks]
-            sizes = np.fromiter(map(len, out), np.int64, len(out)) // 4
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
-                                           pa.array(np.frombuffer(b"".join(out), "<u4").astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([keys.slice(lo, len(out)), ids, pa.array(out, pa.binary())],
-                                             names=["doc_id", "ids", "ids_le"])
+            each = [memo[c] for c in chunks]
+            sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+            pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
+                                              pa.array(np.frombuffer(b"".join(each), "<u4").astype(np.int32)))
+            out = pieces.take(pa.array(place)).flatten()
+            at = np.concatenate([[0], np.concatenate([[0], np.cumsum(sizes[place])])[ends]]).astype(np.int32)
+            packed = np.ascontiguousarray(out.to_numpy(zero_copy_only=False), "<i4")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(lo, n).take(pa.array(order)), pa.ListArray.from_arrays(pa.array(at), out),
+                 pa.Array.from_buffers(pa.binary(), len(order), [None, pa.py_buffer(at * 4), pa.py_buffer(packed)])],
+                names=["doc_id", "ids", "ids_le"])
 
     return per_batch(docs, [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")], join,
                      "doc_id bigint, ids array<int>, ids_le binary")

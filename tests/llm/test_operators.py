@@ -96,6 +96,24 @@ def test_heap_merges_equal_fold(spark):
         assert r.ids == ([ranks[b]] if b in ranks else byte_bpe.heap_merges(b, ranks))
 
 
+def test_chunks_are_told_apart_once_and_split_as_the_pattern(frame):
+    import pyarrow as pa
+    import tiktoken
+    whole, split = byte_bpe.chunker(P.PATTERN)
+    texts = ["one two one", None, "two  three ", "", "a \0b a", "one", "end ", "ab, cd. ab,", "x\n  y"]
+    order, distinct, place, ends = byte_bpe.chunked(pa.array(texts), whole)
+    assert len(distinct) == len(set(distinct)) and sorted(order) == list(range(len(texts))) and list(order[-2:]) == [4, 8]
+    words = byte_bpe.splitter(P.PATTERN)
+    for i, a, b in zip(order, [0, *ends], ends):
+        assert [w for p in place[a:b] for w in split(distinct[p])] == words(texts[i] or "")
+    for c in ["ab,", "ab.\"", "--", "a-b", "ab's", "ab'", "'s", "12", "12.", "é!", "ab.c", "ab²", "ab_", "(ab)", "\u0301x", "ab。", ""]:
+        assert split(c) == words(" " + c), c
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    df = byte_bpe.encode(frame([(i, t, None, None) for i, t in enumerate(texts)]), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert {r.doc_id: list(r.ids) for r in df.collect()} == {i: e.encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
 def test_every_byte_is_placed_without_a_search(spark):
     ranks = byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     got = spark.range(1).select(byte_bpe.byte_ids(ranks).alias("ids")).first().ids
