@@ -527,6 +527,34 @@ def test_passage_of_a_stock_phrase_repeated_over_and_over(frame):
     assert any(s <= at - 6 and e >= at - 6 + len(passage) and d == at - first for s, e, d in found), found
 
 
+def test_chains_of_a_pair_are_one_row(frame, monkeypatch):
+    """Periodic texts have a chain on every diagonal; they are joined with the words as one row a pair, a repeated doc_id included."""
+    made = {}
+    stage = chaining.stage
+    monkeypatch.setattr(chaining, "stage", lambda df, name: made.setdefault(name, stage(df, name)))
+    tail = lambda i, n: " ".join(f"t{i}x{j}" for j in range(n))         # noqa: E731
+    rows = [(i, f"{tail(i, 60 + 10 * i)} {'tick tock ' * (150 + 10 * i)}{tail(-i, 70)}", None, None) for i in (1, 2, 3)]
+    rows.append((3, "tick tock " * 30, None, None))                    # another row of this doc_id
+    found = [tuple(r) for r in chaining.passages(frame(rows)).collect()]
+    for i in (2, 3):                                                   # every place of what repeats
+        assert {p for r in found if r[0] == i for p in range(r[1], r[1] + r[2])} >= set(range(60 + 10 * i, 60 + 10 * i + 2 * (150 + 10 * (i - 1))))
+    assert made["chain-spans"].count() == len({(r[0], r[3]) for r in found}) == 2
+
+
+def test_unions_and_outermost():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        lo = rng.integers(0, 60, rng.integers(0, 8))
+        hi = lo + rng.integers(1, 12, len(lo))
+        got = list(zip(*(v.tolist() for v in chaining.unions(lo, hi))))
+        assert [p for a, b in got for p in range(a, b)] == sorted({p for a, b in zip(lo, hi) for p in range(a, b)})
+        assert all(a[1] < b[0] for a, b in zip(got, got[1:]))
+        rows = [(1, int(a), int(b - a), 0, int(rng.integers(9)), 9, 9, float(rng.integers(3))) for a, b in zip(lo, hi)]
+        kept = chaining.outermost(rows)
+        assert {(r[1], r[1] + r[2]) for r in kept} == {(a, b) for a, b in zip(lo, hi) if not any((c, d) != (a, b) and c <= a and b <= d for c, d in zip(lo, hi))}
+        assert len({(r[1], r[2]) for r in kept}) == len(kept)
+
+
 def test_common_length_and_reach():
     rng = random.Random(2)
     for _ in range(50):
