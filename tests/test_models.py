@@ -135,6 +135,23 @@ def test_predictions_of_unseen_companies(spark, tmp_path):
     assert s.n_companies == 3 and s.first_month == cfg.first_month and sum(v for v in s.health_band.asDict().values() if v) == latest.count()
 
 
+def test_unseen_panel_is_built_beside_the_fits(spark, monkeypatch):
+    """The panel of the unseen companies doesn't wait for the model; it is made anew only for a version with other bounds."""
+    import threading
+    from types import SimpleNamespace
+    from cashlens.plans import modelling as mo
+    built = threading.Event()
+    ids, subset = spark.range(2).withColumnRenamed("id", "company_id"), SimpleNamespace(table=lambda *a: None, cfg="cfg")
+    for at, name, fake in ((mo, "write_once", lambda df, name: df), (mo.lb, "group_holdout", lambda t: ids), (mo, "CompanySubset", lambda t, ids, cfg: subset),
+                           (mo, "detect_config", lambda *a: "cfg"), (mo.cm, "write_monthly", lambda *a: None), (mo, "size_edges", lambda t: [1.0, 2.0]),
+                           (pr, "features", lambda t, edges: built.set() or edges), (pr, "predict", lambda t, model, cfg, x=None: x)):
+        monkeypatch.setattr(at, name, fake)
+    for held, want in (([1.0, 2.0], [1.0, 2.0]), ([1.0, 3.0], None)):
+        built.clear()
+        monkeypatch.setattr(mo, "served", lambda t: SimpleNamespace(meta={"size_edges": held if built.wait(20) else "too late"}))
+        assert mo.unseen(SimpleNamespace(spark=spark, cfg=None)) == want
+
+
 def test_subsets_share_one_preparation(spark, rows):
     few = ["top1_in_share", "cash_months_of_outflow", "country"]
     shared = md.prepare_logistic(rows, [*MOVED, "country"], QUICK)
