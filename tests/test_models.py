@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cashlens.config import PanelConfig
-from cashlens.operators import decisions as dc, model as md, model_store as ms, predicting as pr
+from cashlens.operators import decisions as dc, labels as lb, model as md, model_store as ms, predicting as pr
 from cashlens.operators.panel import CATEGORICAL, FEATURES
 from cashlens.sources.treasury import CompanySubset, StarTreasury, detect_config
 
@@ -161,6 +161,29 @@ def test_subsets_share_one_preparation(spark, rows):
     assert md.predict(alone, rows, few).agg(F.stddev("p")).first()[0] > 0
 
 
+def test_labels_share_one_preparation(spark, rows):
+    """A preparation with another label fits as that label alone does."""
+    few = ["top1_in_share", "cash_months_of_outflow", "country"]
+    both = rows.withColumn("y_other", (F.col("top1_in_share") > 0.2).cast("int"))
+    other = md.relabelled(md.prepare_logistic(both, few, QUICK), "y_other")
+    alone = md.fit_logistic(both.withColumn("y", F.col("y_other")), few, QUICK)
+    d = md.predict(md.fit_logistic(other.frame, few, QUICK, other), md.predict(alone, rows, few, "p_alone"), few, "p_side")
+    assert d.agg(F.max(F.abs(F.col("p_alone") - F.col("p_side")))).first()[0] < 1e-9
+
+
+def test_thresholds_of_several_percentiles(spark):
+    index = spark.createDataFrame([(i / 10, i > 10) for i in range(21)], "D double, is_reserved boolean")
+    got = lb.thresholds(index, {"a": 0.85, "b": 0.25}).first()
+    assert (round(got.a, 9), round(got.b, 9)) == (0.85, 0.25)
+
+
+def test_fits_that_wait_for_the_driver_run_side_by_side(spark):
+    """Some 100,000 rows keep the cores busy for a part of the time only."""
+    import threading
+    met = threading.Barrier(3, timeout=20)
+    md.side_by_side(spark, [met.wait] * 3, 100_000)                    # breaks unless all three run at once
+
+
 def test_fits_of_few_rows_run_side_by_side(spark):
     import threading
     met = threading.Barrier(3, timeout=20)
