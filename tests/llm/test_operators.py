@@ -397,6 +397,35 @@ def test_passage_whose_seeds_are_held_earlier_by_others(frame, quote, step, edit
     assert [(r.start, r.first_start, r.length) for r in found] == [(21, 20, 60)], found
 
 
+def test_changed_passage_whose_seeds_are_held_earlier_by_others(frame):
+    """Two documents share a changed passage, no 20 words of it unchanged; every unchanged stretch also stands in some earlier document."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(112)]
+    rows = [(i, " ".join([*(word() for _ in range(30)), *passage[at:at + 13], *(word() for _ in range(30))]), None, None)
+            for i, at in enumerate(range(0, 112, 14))]
+    other = [word() if i % 14 == 13 else w for i, w in enumerate(passage)]
+    for d, p in ((500, passage), (501, other)):
+        rows.append((d, " ".join([*(word() for _ in range(20 + d % 2)), *p, *(word() for _ in range(20))]), None, None))
+    found = chaining.passages(frame(rows)).collect()
+    assert {(r.doc_id, r.first_doc) for r in found} == {(501, 500)} and len(found) == 1, found
+    assert abs(found[0].start - 21) <= 14 and found[0].length >= 112 - 28
+
+
+def test_seed_pairs():
+    rng = np.random.default_rng(3)
+    at = np.sort(rng.choice(300, 60, replace=False))
+    h = rng.integers(0, 5, 60).astype(np.uint64)
+    b, x, y = chaining.seed_pairs(h, at, 13, 50)
+    assert set(zip(x.tolist(), y.tolist())) == {(p, q) for p in at.tolist() for q in at.tolist() if 13 <= q - p <= 50}
+    value = dict(zip(at.tolist(), h.tolist()))
+    keys = collections.defaultdict(set)
+    for key, p, q in zip(b.tolist(), x.tolist(), y.tolist()):
+        keys[key].add((value[p], value[q]))
+    assert all(len(v) == 1 for v in keys.values()) and len(keys) == len({(value[p], value[q]) for p, q in zip(x.tolist(), y.tolist())})
+    assert [len(v) for v in chaining.seed_pairs(h[:0], at[:0], 13, 50)] == [0, 0, 0]
+
+
 def test_run_hashes_and_exact_runs():
     rng = np.random.default_rng(4)
     w = rng.integers(0, 3, 200).astype(np.uint64)
